@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revwise.plans import q_reviews  # noqa: F401
+from revwise.plans import q_reviews, q_runs  # noqa: F401
 from revwise.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
