@@ -80,3 +80,10 @@ call_log AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+CLUSTERED_REVIEWS_CTE = """
+creviews AS (
+  SELECT 'run-0' AS run_id, r.id AS review_id, r.doc_id, e.embedding, e.label - 1 AS cluster,
+         r.body, r.rating, r.source, r.posted_at, r.product_key
+  FROM embeddings e JOIN reviews r ON r.doc_id = e.vec_id
+)"""

@@ -92,3 +92,13 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("role"),
                     F.when(is_prompt, toks).otherwise(F.lit(0).cast("bigint")).alias("prompt_tokens"),
                     F.when(~is_prompt, toks).otherwise(F.lit(0).cast("bigint")).alias("completion_tokens"))
+
+
+def clustered_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run's clustered reviews: embeddings (label − 1 = cluster) ⋈ reviews on doc id."""
+    e = load(spark, sf_dir, "embeddings")
+    r = reviews(spark, sf_dir)
+    j = e.join(r, e.vec_id == r.doc_id)
+    return j.select(F.lit("run-0").alias("run_id"), F.col("id").alias("review_id"), "doc_id",
+                    "embedding", (F.col("label") - 1).alias("cluster"), "body", "rating",
+                    "source", "posted_at", "product_key")
