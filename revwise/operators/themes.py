@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from revwise.functions.text import mask_pii_strict, normalise, sentiment_or_mixed
@@ -35,7 +36,7 @@ LABEL_SCHEMA = "label string, description string, sentiment string"
 QUOTES_SCHEMA = "quotes array<struct<text: string, rating: int, source: string>>"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 

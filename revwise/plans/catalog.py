@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revwise.plans import q_clusters, q_reviews, q_runs, q_themes  # noqa: F401
+from revwise.plans import q_clusters, q_report, q_reviews, q_runs, q_themes  # noqa: F401
 from revwise.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

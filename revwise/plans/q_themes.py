@@ -20,6 +20,7 @@ from revwise.operators import themes as TH
 from revwise.plans import sqlparts as S
 from revwise.plans.registry import (CALL_LOG_CTE, CLUSTERED_REVIEWS_CTE, REVIEWS_CTE, query,
                                     with_ctes)
+from revwise.session import materialize
 from revwise.sources.testdata import call_log, clustered_reviews, reviews
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -27,16 +28,20 @@ UPPER = LOWER.upper()
 
 
 def theme_inputs(spark, sf):
+    """Cluster-stage outputs the theme stage reads.  The small ones (top
+    clusters, the ≤ 30-review pools, medoids) are written once as stage tables
+    (reliable checkpoints) and reused by every later branch."""
     cr = clustered_reviews(spark, sf)
     mem = CL.members(cr)
     sizes = CL.cluster_sizes(cr)
-    top = CL.top_clusters(sizes)
-    pool = TH.pool(mem, top)
+    top = materialize(CL.top_clusters(sizes))
+    pool = materialize(TH.pool(mem, top))
     med = CL.medoids(cr).join(top.select("run_id", "cluster_id", "size", "size_rank"),
                               ["run_id", "cluster_id"])
     rv = reviews(spark, sf)
-    med = med.join(rv.select(F.col("id").alias("medoid_review_id"),
-                             F.col("rating").alias("medoid_rating")), "medoid_review_id", "left")
+    med = materialize(med.join(rv.select(F.col("id").alias("medoid_review_id"),
+                                         F.col("rating").alias("medoid_rating")),
+                               "medoid_review_id", "left"))
     return dict(cr=cr, mem=mem, sizes=sizes, top=top, pool=pool, med=med, reviews=rv)
 
 

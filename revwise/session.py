@@ -57,3 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="revwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialize(df):
+    """Stage boundary: write ``df`` to the shared checkpoint folder and cut its lineage.
+
+    Used where a stage's small output (clusters, themes, quotes) feeds several
+    later branches, the way the batch writes its stage tables.  Reliable
+    checkpoints survive executor loss; they are never node-local.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
