@@ -34,3 +34,10 @@ def q_knn(spark, sf):
     nn = KN.knn(cluster_vectors(spark, sf), k=KNN_K, leaf_size=KNN_LEAF)
     return nn.select("run_id", "review_id", "neighbor_id", F.col("rank").cast("int").alias("rank"),
                      F.round("distance", 6).alias("distance"))
+
+
+@query("q_density_clusters")
+def q_density_clusters(spark, sf):
+    """M3 on the embeddings of one run (rows-only check; planted-blob tests in pytest)."""
+    from revwise.operators.density import density_clusters
+    return density_clusters(cluster_vectors(spark, sf).select("run_id", "review_id", "embedding"))
