@@ -41,3 +41,33 @@ def q_density_clusters(spark, sf):
     """M3 on the embeddings of one run (rows-only check; planted-blob tests in pytest)."""
     from revwise.operators.density import density_clusters
     return density_clusters(cluster_vectors(spark, sf).select("run_id", "review_id", "embedding"))
+
+
+@query("q_keyphrases")
+def q_keyphrases(spark, sf):
+    """M5 over the clustered run: 8 diversified phrases per cluster."""
+    from revwise.operators import clusters as CL
+    from revwise.operators.phrases import keyphrases
+    from revwise.sources.testdata import clustered_reviews
+    mem = CL.members(clustered_reviews(spark, sf))
+    return keyphrases(mem, ["run_id", "cluster_id"], "body")
+
+
+@query("q_text_vectors")
+def q_text_vectors(spark, sf):
+    """M1 (hashed TF-IDF provider) over all reviews: id, dimension, norm."""
+    from revwise.operators.embed import embed
+    from revwise.sources.testdata import reviews
+    v = embed(reviews(spark, sf).select("id", "body"), "hashed_tfidf")
+    return v.select("id", F.size("embedding").alias("dim"),
+                    F.round(F.sqrt(F.aggregate(F.transform("embedding", lambda x: x * x),
+                                               F.lit(0.0), lambda a, b: a + b)), 6).alias("norm"))
+
+
+@query("q_reduce")
+def q_reduce(spark, sf):
+    """M2: PCA of the run's vectors to min(15, n − 2) components."""
+    from revwise.operators.embed import reduce_dims
+    r = reduce_dims(cluster_vectors(spark, sf).select("run_id", "review_id", "embedding"))
+    return r.select("run_id", "review_id", F.size("reduced").alias("dim"),
+                    F.col("reduced")[0].alias("pc1"))
