@@ -239,7 +239,7 @@ def cost_cap(calls: DataFrame, cap: float = DEFAULT_COST_CAP_USD) -> DataFrame:
             + F.col("completion_tokens") * COST_PER_COMPLETION_TOKEN)
     w = (Window.partitionBy("run_id").orderBy("seq")
          .rowsBetween(Window.unboundedPreceding, -1))
-    c = calls.withColumn("cost", cost)
+    c = calls if "cost" in calls.columns else calls.withColumn("cost", cost)
     return c.withColumn("spent_before", F.coalesce(F.sum("cost").over(w), F.lit(0.0))) \
         .withColumn("refused", F.col("spent_before") >= F.lit(cap))
 
