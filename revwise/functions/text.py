@@ -56,9 +56,14 @@ EMOJI_CLASS = (r"\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}"
 IST_OFFSET_MINUTES = 330  # ISO weeks are taken in India time, UTC+05:30
 
 
+# Cheap guards: a pattern can only match text holding '@' (e-mail) or a digit
+# (phone, Aadhaar), so other rows skip the scan.  Results are unchanged.
+_GUARDS = (lambda c: c.contains("@"), lambda c: c.rlike(r"\p{Nd}"), lambda c: c.rlike(r"\p{Nd}"))
+
+
 def _mask(c: Column, patterns: tuple[str, str, str]) -> Column:
-    for pat, tok in zip(patterns, MASK_TOKENS):
-        c = F.regexp_replace(c, pat, tok)
+    for pat, tok, guard in zip(patterns, MASK_TOKENS, _GUARDS):
+        c = F.when(guard(c), F.regexp_replace(c, pat, tok)).otherwise(c)
     return c
 
 
@@ -77,6 +82,13 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(f"[^{WS_CLASS}]+"))
 
 
+def at_least_words(c: Column, n: int) -> Column:
+    """True when the text has at least n whitespace-separated tokens.  The
+    pattern is anchored and possessive, so it reads the text once and stops
+    at the n-th token instead of counting the whole text."""
+    return c.rlike(f"^[{WS_CLASS}]*+(?:[^{WS_CLASS}]++[{WS_CLASS}]++){{{n - 1}}}[^{WS_CLASS}]")
+
+
 def has_non_emoji(c: Column) -> Column:
     """true when the text holds something besides emoji and blanks."""
     return c.rlike(f"[^{EMOJI_CLASS}{WS_CLASS}]")

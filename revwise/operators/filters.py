@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revwise.functions.text import has_non_emoji, word_count
+from revwise.functions.text import at_least_words, has_non_emoji
 
 SOURCES = ("appstore", "playstore")
 MIN_WORDS = 3
@@ -41,7 +41,7 @@ def language_ok(lang: Column) -> Column:
 
 def enough_words(body: Column) -> Column:
     """at least three whitespace tokens."""
-    return word_count(body) >= MIN_WORDS
+    return at_least_words(body, MIN_WORDS)
 
 
 def not_emoji_only(body: Column) -> Column:
