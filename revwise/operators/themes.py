@@ -264,3 +264,45 @@ def extra_picks(members: DataFrame, medoids: DataFrame, n: int = 2) -> DataFrame
         F.abs(F.col("rating") - F.col("medoid_rating")).desc(), F.col("sim").desc(),
         F.col("review_id"))
     return j.withColumn("pick_rank", F.row_number().over(w)).filter(F.col("pick_rank") <= n)
+
+
+ACTIONS_SCHEMA = "action_ideas array<struct<title: string, description: string>>"
+AUDIENCE_SCHEMA = "what_this_solves array<struct<audience: string, value: string>>"
+MAX_ACTIONS = 3
+
+
+def retry_requests(checked: DataFrame) -> DataFrame:
+    """L2 (retry): for clusters whose first answer had a failed quote and no
+    valid one, the list of failed quotes, one `- "text"` line each."""
+    keys = ["run_id", "cluster_id"]
+    a1 = checked.filter(F.col("attempt") == 1)
+    need = (a1.filter(~F.col("valid")).select(*keys).distinct()
+            .join(a1.filter("valid").select(*keys).distinct(), keys, "left_anti"))
+    lines = (a1.filter(~F.col("valid")).join(need, keys, "left_semi")
+             .select(*keys, "position", F.concat(F.lit('- "'), F.col("text"), F.lit('"')).alias("failed_quotes")))
+    return _ordered_join(lines, keys, "position", "failed_quotes", "\n")
+
+
+def action_requests(ranked: DataFrame) -> DataFrame:
+    """L3: the top themes of each run as JSON (label, description, count);
+    runs without themes get no request."""
+    g = ranked.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "label", "description", F.col("size").alias("review_count")))).alias("_t"))
+    return g.select("run_id", F.to_json(F.transform("_t", lambda s: s.dropFields("rank")))
+                    .alias("themes_json"))
+
+
+def parse_actions(responses: DataFrame) -> DataFrame:
+    """At most three action ideas per run, in answer order."""
+    p = responses.select("run_id", F.from_json("response", ACTIONS_SCHEMA).alias("_p"))
+    return p.select("run_id", F.posexplode(F.slice(F.coalesce("_p.action_ideas", F.array()), 1,
+                                                   MAX_ACTIONS)).alias("pos", "a")) \
+        .select("run_id", (F.col("pos") + 1).alias("item"), "a.title", "a.description")
+
+
+def parse_audiences(responses: DataFrame) -> DataFrame:
+    """Every audience row of the answer, in order."""
+    p = responses.select("run_id", F.from_json("response", AUDIENCE_SCHEMA).alias("_p"))
+    return p.select("run_id", F.posexplode(F.coalesce("_p.what_this_solves", F.array()))
+                    .alias("pos", "a")) \
+        .select("run_id", (F.col("pos") + 1).alias("item"), "a.audience", "a.value")

@@ -259,3 +259,31 @@ def q_undelivered(spark, sf):
           .unionByName(wk.filter(F.col("source") == "appstore")
                        .select("product_key", "iso_week", F.lit("mail").alias("channel"))))
     return RP.undelivered(due, dl)
+
+
+@query("q_action_requests")
+def q_action_requests(spark, sf):
+    """L3: themes JSON per run (rows check: JSON layout differs from the reference's indent)."""
+    h, ranked, quotes, actions, auds = report_parts(spark, sf)
+    return TH.action_requests(ranked)
+
+
+@query("q_actions")
+def q_actions(spark, sf):
+    """Answers list four ideas per run (one per theme plus one); at most three are kept.
+    Audience rows are all kept."""
+    h, ranked, quotes, actions, auds = report_parts(spark, sf)
+    g = ranked.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("rank", "label"))).alias("t"))
+    ideas = F.transform(F.concat(F.col("t"), F.array(F.struct(F.lit(99).alias("rank"),
+                                                              F.lit("Monitor").alias("label")))),
+                        lambda s: F.struct(F.concat(F.lit("Address "), s["label"]).alias("title"),
+                                           F.lit("next week").alias("description")))
+    resp = g.select("run_id", F.to_json(F.struct(ideas.alias("action_ideas"))).alias("response"))
+    aud = g.select("run_id", F.to_json(F.struct(F.transform("t", lambda s: F.struct(
+        s["label"].alias("audience"), F.lit("clearer answers").alias("value"))).alias("what_this_solves")))
+        .alias("response"))
+    a = TH.parse_actions(resp).select("run_id", F.lit("action").alias("kind"), "item",
+                                      F.col("title").alias("text"))
+    b = TH.parse_audiences(aud).select("run_id", F.lit("audience").alias("kind"), "item",
+                                       F.col("audience").alias("text"))
+    return a.unionByName(b)

@@ -400,3 +400,15 @@ FROM call_log""")
 def q_cost_cap(spark, sf):
     c = TH.cost_cap(call_log(spark, sf))
     return c.select("run_id", "seq", "cost", "spent_before", "refused")
+
+
+@query("q_quote_retry_requests", THEME_CTES + """
+SELECT run_id, cluster_id, count(*) AS n_lines,
+       string_agg('- "' || text || '"', chr(10) ORDER BY position) AS failed_quotes
+FROM qchk q
+WHERE attempt = 1 AND NOT valid
+  AND NOT EXISTS (SELECT 1 FROM a1v v WHERE v.run_id = q.run_id AND v.cluster_id = q.cluster_id)
+GROUP BY ALL""")
+def q_quote_retry_requests(spark, sf):
+    ti = theme_inputs(spark, sf)
+    return TH.retry_requests(TH.check_quotes(quote_log(ti["pool"]), ti["pool"]))
