@@ -61,11 +61,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Stage boundary: write ``df`` to the shared checkpoint folder and cut its lineage.
+    """Stage boundary: write ``df`` as a table in the shared checkpoint folder and
+    continue from a fresh scan of it, which cuts the lineage.
 
-    Used where a stage's small output (clusters, themes, quotes) feeds several
-    later branches, the way the batch writes its stage tables.  Reliable
-    checkpoints survive executor loss; they are never node-local.
+    Used where a stage's output feeds several later branches (the way the batch
+    writes its stage tables) and at the end of every round of an iterative
+    operator.  The folder is the cluster's shared one, so the table survives
+    executor loss; it is never node-local.  A parquet table (rather than an RDD
+    checkpoint) also gives the optimizer plain columns with fresh attributes.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    base = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
