@@ -7,13 +7,17 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every job relies on.  Partition counts are left to AQE on a cluster;
-# tests override ``spark.sql.shuffle.partitions``.
+# Settings every job relies on.  On a cluster the shuffle partition count comes
+# from the cluster's own configuration; AQE then coalesces small partitions
+# toward the advisory size and splits skewed join partitions.  Tests and the
+# bench pass a small ``shuffle_partitions`` for local mode.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
