@@ -83,3 +83,17 @@ def test_report_offsets(spark):
     reqs = RP.doc_requests(RP.report_lines(h, th, q, a, u, 100), 100)
     kinds = {r.kind: r.n for r in RP.request_kinds(reqs).collect()}
     assert kinds["insertPageBreak"] == 1 and kinds["updateTextStyle"] == 1
+
+
+def test_delivery_checks(spark):
+    due = spark.createDataFrame([("p", "2024-W02", "doc"), ("p", "2024-W03", "doc"), ("q", "2024-W02", "mail")],
+                                "product_key string, iso_week string, channel string")
+    sent = spark.createDataFrame([("q", "2024-W02", "mail")], "product_key string, iso_week string, channel string")
+    assert {(r.product_key, r.iso_week) for r in RP.undelivered(due, sent).collect()} == {
+        ("p", "2024-W02"), ("p", "2024-W03")}
+    docs = spark.createDataFrame([("p", "old text [pulse-p-2024-W02] more"), ("q", "[pulse-p-2024-W03]")],
+                                 "product_key string, doc_text string")
+    got = {r.iso_week for r in RP.delivered_by_text(due.filter("channel = 'doc'"), docs).collect()}
+    assert got == {"2024-W02"}          # the W03 anchor sits in another product's document
+    link = spark.range(1).select(RP.deep_link(F.lit("D"), F.lit("h.1")).alias("l")).first().l
+    assert link.endswith("/d/D/edit#heading=h.1")
