@@ -33,7 +33,6 @@ COST_PER_COMPLETION_TOKEN = 0.79 / 1_000_000
 DEFAULT_COST_CAP_USD = 0.50
 
 LABEL_SCHEMA = "label string, description string, sentiment string"
-QUOTES_SCHEMA = "quotes array<struct<text: string, rating: int, source: string>>"
 
 
 @pandas_udf(StringType())
@@ -42,7 +41,10 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column) -> Column:
-    """NFKC (Spark has no built-in).  The Arrow UDF only sees non-ASCII rows."""
+    """NFKC (Spark has no built-in) through an Arrow-batched pandas UDF.  Spark
+    evaluates the UDF for every row that reaches it; ASCII rows (NFKC-stable)
+    keep their value.  It is applied only to quotes and the ≤ 30 pool bodies
+    of a cluster, never to whole tables."""
     return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
 
 

@@ -4,7 +4,7 @@ The reference stores reviews, runs, embeddings and model calls; the test
 parquet holds documents, events, embeddings and conversations.  These
 functions are plain projections/joins (no filters, no sampling), so every
 query over them reads the whole tables.  The same mapping is written as SQL
-in ``revwise.plans.oracle`` for the DuckDB check.
+in ``revwise.plans.registry`` for the DuckDB check.
 """
 
 from __future__ import annotations
