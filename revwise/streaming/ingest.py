@@ -13,38 +13,15 @@ path it reads.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from revwise.sources.feeds import STORE_SCHEMA, store_rows
-from revwise.sources.store import upsert_latest
+from revwise.sources.store import read_latest, upsert_latest, write_new_version
 
 REVIEW_COLS = ["id", "product_key", "source", "external_id", "body", "rating", "title",
                "posted_at", "version", "language", "country", "ingested_at"]
 
 
-def _versions(spark: SparkSession, table: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(hconf)
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def read_latest(spark: SparkSession, table: str) -> DataFrame | None:
-    v = _versions(spark, table)
-    return spark.read.parquet(os.path.join(table, f"v={v[-1]}")) if v else None
-
-
 def ingest_stream(spark: SparkSession, landing: str, table: str, checkpoint: str,
                   ingested_at: str, since: str | None = None):
     """Start the stream (AvailableNow) and return the StreamingQuery."""
@@ -54,8 +31,7 @@ def ingest_stream(spark: SparkSession, landing: str, table: str, checkpoint: str
         new = store_rows(batch, since, ingested_at).select(*REVIEW_COLS)
         old = read_latest(batch.sparkSession, table)
         merged = new.dropDuplicates(["id"]) if old is None else upsert_latest(old, new, "id")
-        nxt = (_versions(batch.sparkSession, table) or [-1])[-1] + 1
-        merged.write.mode("overwrite").parquet(os.path.join(table, f"v={nxt}"))
+        write_new_version(merged, table)
 
     return (src.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
