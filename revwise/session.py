@@ -65,14 +65,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Stage boundary: write ``df`` as a table in the shared checkpoint folder and
-    continue from a fresh scan of it, which cuts the lineage.
+    """Stage boundary: reliable checkpoint of ``df`` into the shared folder
+    (``spark.checkpoint.dir``), cutting its lineage.
 
     Used where a stage's output feeds several later branches (the way the batch
     writes its stage tables) and at the end of every round of an iterative
-    operator.  The folder is the cluster's shared one, so the table survives
-    executor loss; it is never node-local.  A parquet table (rather than an RDD
-    checkpoint) also gives the optimizer plain columns with fresh attributes.
+    operator.  The folder is the cluster's shared one, so the data survives
+    executor loss; it is never node-local.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def materialize_table(df):
+    """Stage boundary as a written parquet table in the shared checkpoint folder,
+    continued from a fresh scan (fresh attributes, no carried constraints).
+
+    Spark 4.1 fails to plan some self-joins of checkpointed plans that carry a
+    constant column ("key not found" during planning); the label-propagation
+    loop of the density operator hits that, so it uses tables instead.
     """
     import uuid
 
