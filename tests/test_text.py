@@ -84,3 +84,21 @@ def test_fallback_id_uses_none_for_missing_date(spark):
                     .alias("x")).first().x
     import hashlib
     assert got == hashlib.sha1("AnonymousNonehello world body tex".encode()).hexdigest()
+
+
+def test_parse_date_forms(spark):
+    from revwise.sources.feeds import parse_date
+    df = spark.createDataFrame([("2024-05-01T10:00:00Z",), ("2024-05-01T10:00:00+05:30",),
+                                ("2024-05-01 10:00:00",), ("not a date",)], "t string")
+    ts, flag = parse_date(F.col("t"), F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
+    got = [(str(r.ts), r.flag) for r in df.select(ts.alias("ts"), flag.alias("flag")).collect()]
+    assert got == [("2024-05-01 10:00:00", False), ("2024-05-01 04:30:00", False),
+                   ("2024-05-01 10:00:00", False), ("2024-06-01 00:00:00", True)]
+
+
+def test_window_filter_is_inclusive(spark):
+    import datetime as dt
+    rows = [(dt.datetime(2024, 2, 2),), (dt.datetime(2024, 2, 1, 23, 59),)]
+    df = spark.createDataFrame(rows, "posted_at timestamp_ntz")
+    got = FL.window_filter(df, "2024-03-01 00:00:00", 4).collect()
+    assert [str(r.posted_at) for r in got] == ["2024-02-02 00:00:00"]
