@@ -32,7 +32,10 @@ MAX_DEPTH = 64
 def parse_date(text: Column, fallback: Column) -> tuple[Column, Column]:
     """ISO text ('Z', offset or zone-less = UTC) → UTC timestamp; bad text
     falls back to ``fallback`` and sets a flag (X15)."""
-    utc = F.try_to_timestamp(text).cast("timestamp_ntz")  # session time zone is UTC
+    zoned = text.rlike(r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)$")
+    local = F.try_to_timestamp(text).cast("timestamp_ntz")   # wall clock in the session zone
+    utc = F.when(zoned, F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)) \
+        .otherwise(text.try_cast("timestamp_ntz"))              # zone-less text is UTC already
     return F.coalesce(utc, fallback), utc.isNull()
 
 

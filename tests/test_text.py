@@ -102,3 +102,15 @@ def test_window_filter_is_inclusive(spark):
     df = spark.createDataFrame(rows, "posted_at timestamp_ntz")
     got = FL.window_filter(df, "2024-03-01 00:00:00", 4).collect()
     assert [str(r.posted_at) for r in got] == ["2024-02-02 00:00:00"]
+
+
+def test_parse_date_ignores_session_zone(spark):
+    from revwise.sources.feeds import parse_date
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        df = spark.createDataFrame([("2024-05-01T10:00:00Z",), ("2024-05-01 10:00:00",)], "t string")
+        ts, _ = parse_date(F.col("t"), F.lit(None).cast("timestamp_ntz"))
+        assert [str(r.ts) for r in df.select(ts.alias("ts")).collect()] == ["2024-05-01 10:00:00"] * 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
