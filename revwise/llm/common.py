@@ -30,6 +30,16 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names`` with underscores put in front until none is a column already."""
+    out = []
+    for name in names:
+        while name.lower() in {c.lower() for c in [*columns, *out]}:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 #: Ids up to this count may be broadcast (8 bytes each, so 16 MB at most); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

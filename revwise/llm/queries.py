@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revwise.llm import langid, minmax_dedup
+from revwise.llm import feistel_pii, langid, minmax_dedup, mixing, packing, ring_sharding
 from revwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +57,35 @@ FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n""")
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on whole 5-word shingle sets."""
     return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_feistel_pseudonyms")
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers, dates and addresses pseudonymized."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return feistel_pii.pseudonymize(docs)
+
+
+@query("op4_source_mix")
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, from the spans of its blocks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces and their places in sequences of 4096."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op1_ring_shards")
+def op1_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 23 of near equal bytes."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32("text").alias("text_crc32"))
+    return ring_sharding.assign_shards(rows, ["doc_id", "text_crc32"], "size", 24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "hops")
