@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revwise.llm import feistel_pii, langid, minmax_dedup, mixing, packing, ring_sharding
+from revwise.llm import (chat_format, collision_ann, edit_counts, feistel_pii, langid, minmax_dedup, mixing, packing,
+                         pivot_topk, ring_sharding)
 from revwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +90,65 @@ def op1_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_sharding.assign_shards(rows, ["doc_id", "text_crc32"], "size", 24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "hops")
+
+
+@query("op2_collision_search")
+def op2_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found for every vec_id divisible by 50."""
+    return collision_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op8_pivot_topk", """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 20""")
+def op8_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of whole-number vectors for every vec_id divisible by 20."""
+    return pivot_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op6_chat_tokens", r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+m AS (
+  SELECT *, len(regexp_extract_all(text, '<\\*(?:/?s>|<SYS>>|</SYS>>)|\[\\*(?:/?INST\]|/?ROLE\]|OUT\])')) AS marks,
+    len(regexp_extract_all(role, '<\\*(?:/?s>|<SYS>>|</SYS>>)|\[\\*(?:/?INST\]|/?ROLE\]|OUT\])')) AS role_marks
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  CAST(7 + sum(length(text) + marks + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9
+    ELSE 17 + length(role) + role_marks END) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id""")
+def op6_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that speaks in marks, formatted to tokens and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], turns.schema)
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return chat_format.read_chats(chat_format.format_chats(turns.union(more), ranks, pattern), ranks, pattern)
+
+
+#: Edits of a text that follow from it: an insertion, a deletion and a replacement at places its checksum gives.
+EDITS = """array(
+  named_struct('at', pmod(crc32(text), length(text) + 1), 'removed', 0L, 'inserted', ' 42nd edit'),
+  named_struct('at', pmod(crc32(reverse(text)), length(text) + 1), 'removed', 7L, 'inserted', ''),
+  named_struct('at', pmod(xxhash64(text), length(text) + 1), 'removed', 3L, 'inserted', "It's"))"""
+
+
+@query("op10_edit_counts")
+def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(EDITS).alias("edits"))
+    out = edit_counts.count_edited(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", *edit_counts.COLUMNS, F.crc32("text").alias("text_crc32"))
