@@ -9,13 +9,16 @@ a pair at 0.75 shares no bucket with a probability of (1 - 0.75**6)**48 < 0.0001
 Bucket members become links without emitting all pairs of a bucket:
 
 1. Texts with equal sets are one vertex (the smallest doc_id stands for them).
-2. Star rounds: in each bucket whose members are not yet one component, a hub (the member
-   that shares most buckets) is compared with the members outside its component.
-3. When the hubs are used up to ``STAR_ROUNDS``, what still shares a bucket across two
-   components is compared directly; a pair is never compared twice.
-
-Every compared pair is confirmed on the full sets.  After step 3 each pair that shares a
-bucket was either compared or lies in one component, so no caps apply to a bucket.
+2. ``STAR_ROUNDS`` star rounds: in each bucket whose members are not yet one component, a
+   hub (the member that shares most buckets) is compared with the members outside its
+   component.  Groups of near copies become one component here, whatever their size.
+3. Buckets that still hold several components and more members than were hubs are joined
+   by their first hub, and cut into chunks of about ``CHUNK`` shingles.  A task gets two
+   chunks and finds the links between their components from an index of the shingles,
+   without a row for a pair.
+
+Every link is confirmed on the full sets.  After step 3 each pair that shares a bucket was
+either compared or lies in one component, so no caps apply to a bucket.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ BANDS = 48
 PER_BAND = 3
 PERMUTATIONS = BANDS * PER_BAND
 STAR_ROUNDS = 2
+CHUNK = 1 << 17
 #: Word hashes that one task remembers (about 100 bytes each).
 CACHED_WORDS = 400_000
 
@@ -154,6 +158,15 @@ def _confirm(percent: int):
     return run
 
 
+def _undecided(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components and a pair that no star round compares."""
+    rows = (members.where(F.col("n") > 2).join(label, "id", "left")
+            .withColumn("comp", F.coalesce("component", "id")).drop("component"))
+    mixed = (rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .where("lo < hi").select("bucket"))
+    return rows.join(mixed, "bucket")
+
+
 def _hubs(left: DataFrame, used: DataFrame | None) -> DataFrame:
     """(bucket, id): of each bucket the member with most bucket mates that was no hub before."""
     pool = left if used is None else left.join(used, ["bucket", "id"], "left_anti")
@@ -184,6 +197,60 @@ def _compare(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         .mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "compared")
 
 
+def _linked_chunks(percent: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        own, first, second = (rows.column(c).to_numpy() for c in ("own", "first", "second"))
+        ids, comp = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
+        sets = rows.column("shingles").combine_chunks()
+        values, at = sets.values.to_numpy(), sets.offsets.to_numpy()
+        size = np.diff(at)
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+        # Index of the left chunk: its shingles in order, each with its row.
+        where = np.repeat(np.arange(len(left)), size[left])
+        held = np.concatenate([values[at[i]:at[i + 1]] for i in left] or [values[:0]])
+        order = np.argsort(held, kind="stable")
+        held, where = held[order], where[order]
+        same = {int(c): int(c) for c in np.unique(comp)}  # components joined by links found here
+
+        def root(c: int) -> int:
+            while same[c] != c:
+                same[c] = c = same[same[c]]
+            return c
+        a, b = [], []
+        for j in right:
+            lo, hi = (held.searchsorted(values[at[j]:at[j + 1]], side) for side in ("left", "right"))
+            n = hi - lo
+            hits = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            shared = np.bincount(where[hits], minlength=len(left))
+            near = (100 * shared >= percent * (size[left] + size[j] - shared)) & (comp[left] != comp[j])
+            for i in left[near]:
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x != y:
+                    same[x] = y
+                    a.append(ids[i])
+                    b.append(ids[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
+def _chunk_links(texts: DataFrame, left: DataFrame, first_hub: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of undecided buckets."""
+    hub = first_hub.select("bucket", F.col("id").alias("hub"))
+    rows = stage_table(left.where(F.col("n") > STAR_ROUNDS + 1).join(hub, "bucket")
+                       .select("hub", "id", "comp", "n_shingles").distinct(), "groups")
+    groups = (rows.groupBy("hub").agg(F.sum("n_shingles").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+              .where("lo < hi").select("hub", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")))
+    dealt = (rows.join(groups, "hub").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("hub", "id", "comp", "own", F.least("own", "other").alias("first"),
+                     F.greatest("own", "other").alias("second")))
+    ids = stage_table(rows.select("id").distinct(), "ids")
+    sets = (semi_by_ids(texts, "doc_id", ids, ids.count())
+            .mapInArrow(_sets, "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "id"))
+    return stage_table(dealt.join(sets, "id").groupBy("hub", "first", "second").applyInArrow(
+        _linked_chunks(percent), "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, ...).
 
@@ -207,32 +274,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = stage_table(rows.join(crowded, "bucket").dropDuplicates(["bucket", "id"]), "members")
     # A hub is the member with most bucket mates; the id in the low bits makes the order total.
     hubs = members.groupBy("id").agg(F.sum("n").alias("mates"))
-    members = stage_table(members.join(hubs, "id").select("bucket", "id", "n_shingles", "mates"), "hubs")
+    members = stage_table(members.join(hubs, "id").select("bucket", "id", "n_shingles", "n", "mates"), "hubs")
 
-    compared = label = used = None
     left = members.withColumn("comp", F.col("id"))
-    for round_ in range(STAR_ROUNDS + 1):
-        if label is not None:
-            left = (members.join(label, "id", "left")
-                    .withColumn("comp", F.coalesce("component", "id")).drop("component"))
-            mixed = (left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                     .where("lo < hi").select("bucket"))
-            left = stage_table(left.join(mixed, "bucket"), "mixed")
-        if round_ < STAR_ROUNDS:
-            hub = stage_table(_hubs(left, used), "hub")
-            used = hub if used is None else used.union(hub)
-            first = left.join(hub, ["bucket", "id"])
-        else:
-            first = left
-        pairs = _pairs(left, first, percent)
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stage_table(pairs, "pairs")
-        if compared is not None and pairs.isEmpty():
-            continue
-        found = _compare(texts, pairs, percent)
-        compared = found if compared is None else compared.union(found)
+    first_hub = used = stage_table(_hubs(left, None), "hub")
+    pairs = stage_table(_pairs(left, left.join(first_hub, ["bucket", "id"]), percent), "pairs")
+    compared = _compare(texts, pairs, percent)
+    label = connected_components(compared.where("linked").select("a", "b"), "near")
+    for _ in range(1, STAR_ROUNDS):
+        left = stage_table(_undecided(members, label), "undecided")
+        hub = stage_table(_hubs(left, used), "hub")
+        used = used.union(hub)
+        pairs = _pairs(left, left.join(hub, ["bucket", "id"]), percent)
+        pairs = stage_table(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        compared = compared.union(_compare(texts, pairs, percent))
         label = connected_components(compared.where("linked").select("a", "b"), "near")
+    more = _chunk_links(texts, _undecided(members, label), first_hub, percent)
+    if not more.isEmpty():
+        label = connected_components(compared.where("linked").select("a", "b").union(more), "near")
 
     answer = sketch.select("doc_id", "n_shingles", "h1", "h2").join(reps, ["h1", "h2"], "left")
     answer = answer.withColumn("rep", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("rep")))
