@@ -56,15 +56,13 @@ EMOJI_CLASS = (r"\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}"
 IST_OFFSET_MINUTES = 330  # ISO weeks are taken in India time, UTC+05:30
 
 
-# Cheap guards: a pattern can only match text holding '@' (e-mail) or a digit
-# (phone, Aadhaar), so other rows skip the scan.  Results are unchanged.
-_GUARDS = (lambda c: c.contains("@"), lambda c: c.rlike(r"\p{Nd}"), lambda c: c.rlike(r"\p{Nd}"))
-
-
 def _mask(c: Column, patterns: tuple[str, str, str]) -> Column:
-    for pat, tok, guard in zip(patterns, MASK_TOKENS, _GUARDS):
-        c = F.when(guard(c), F.regexp_replace(c, pat, tok)).otherwise(c)
-    return c
+    """The three passes, for texts that can match at all (an '@' or a digit); each pass
+    occurs once in the plan."""
+    masked = c
+    for pat, tok in zip(patterns, MASK_TOKENS):
+        masked = F.regexp_replace(masked, pat, tok)
+    return F.when(c.rlike(r"[@\p{Nd}]"), masked).otherwise(c)
 
 
 def mask_pii(c: Column) -> Column:
@@ -146,17 +144,12 @@ def parse_iso_week(c: Column) -> tuple[Column, Column]:
     return year, week
 
 
-def parse_ts(text: Column) -> Column:
-    """ISO-8601 text (``Z``, offset or zone-less) to timestamp; bad text → null."""
-    return F.try_to_timestamp(text)
-
-
 def window_weeks(start: Column, end: Column) -> Column:
     """Whole weeks between two dates."""
     return F.floor(F.datediff(end, start) / 7).cast("int")
 
 
-# Mail subject: "[Weekly Pulse] <display name> — <ISO week> — <top theme label>",
+# Fixed values.  Mail subject: "[Weekly Pulse] <display name> — <ISO week> — <top theme label>",
 # "Review Pulse" when there is no theme; over 200 characters keeps 197 plus "...".
 SUBJECT_PREFIX = "[Weekly Pulse] "
 SUBJECT_SEP = " — "

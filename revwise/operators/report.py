@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revwise.functions.text import subject_line
+from revwise.functions.text import round2_or_zero, subject_line, window_weeks
+from revwise.operators.runs import recent_runs
+from revwise.sources.registry import with_product
 
+# The document request kinds that delivery accepts.
 ALLOWED_KINDS = ("insertText", "updateParagraphStyle", "updateTextStyle", "insertTable",
                  "insertPageBreak")
 
@@ -111,33 +114,101 @@ def request_kinds(requests: DataFrame) -> DataFrame:
             .withColumn("allowed", F.col("kind").isin(*ALLOWED_KINDS)))
 
 
-def mail_view(summary: DataFrame, recipients: DataFrame | None = None,
-              override_to: str | None = None, link: str | None = None) -> DataFrame:
+def _lines(items: DataFrame, order: str, text: Column, name: str) -> DataFrame:
+    """(run_id, name): the run's bounded items as an array of texts in order."""
+    return items.groupBy("run_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda s: s["t"]).alias(name))
+
+
+def mail_view(summary: DataFrame, themes: DataFrame, quotes: DataFrame, actions: DataFrame,
+              recipients: DataFrame | None = None, override_to: str | None = None,
+              link: Column | None = None, production: bool = False) -> DataFrame:
     """Mail fields by run.
 
-    summary: (run_id, display, iso_week, window_start date, window_end date,
-    total_reviews, avg_rating, top_theme, theme_lines, quote_lines);
-    recipients: (run_id, to) from the registry.
+    summary: (run_id, product_key, display, iso_week, window_start date, window_end
+    date, total_reviews, avg_rating); themes, quotes and actions as in ``report_lines``
+    (themes with size); recipients: the registry's (key, recipients).  The receiver is
+    the override, else the product's list, else a fallback; in production a run without
+    a receiver is an error.
     """
-    body = F.concat_ws("\n",
-                       F.concat(F.lit("Top themes for "), F.col("display"), F.lit(", "),
-                                F.col("iso_week"), F.lit(":")),
-                       F.col("theme_lines"),
-                       F.concat(F.lit("Read full report → "), F.lit(LINK_PLACEHOLDER)))
-    out = summary.select(
+    theme = F.concat(F.lit("\n* "), F.col("label"), F.lit(" ("), F.col("size").cast("string"), F.lit(" reviews)\n  "),
+                     F.col("description"), F.lit("\n"))
+    s = (summary.join(_lines(themes, "rank", theme, "theme_lines"), "run_id", "left")
+         .join(themes.filter(F.col("rank") == 1).select("run_id", F.col("label").alias("top_theme")), "run_id", "left")
+         .join(_lines(quotes, "quote_rank", F.col("text"), "quotes"), "run_id", "left")
+         .join(_lines(actions, "item", F.concat(F.col("title"), F.lit(": "), F.col("description")), "ideas"),
+               "run_id", "left"))
+    if recipients is not None:
+        s = s.join(recipients.select(F.col("key").alias("product_key"), "recipients"), "product_key", "left")
+    else:
+        s = s.withColumn("recipients", F.lit(None).cast(
+            "struct<to: array<string>, cc: array<string>, bcc: array<string>>"))
+    # The layout of the mail's text part.
+    body = F.concat(
+        F.lit("Subject: [Weekly Pulse] "), F.col("display"), F.lit(" — "), F.col("iso_week"), F.lit(" — "),
+        F.coalesce("top_theme", F.lit("No Themes")),
+        F.lit("\n\nHi Team,\n\nHere are the top themes discovered from this week's reviews:\n\n"),
+        F.coalesce(F.array_join("theme_lines", ""), F.lit("")),
+        F.lit("\n\nRead full report → "), link if link is not None else F.lit(LINK_PLACEHOLDER),
+        F.lit("\n\nThis is an automated report.\nProduct: "), F.col("display"),
+        F.lit(" | ISO Week: "), F.col("iso_week"))
+    listed = F.lit(override_to) if override_to else F.when(F.size("recipients.to") > 0, F.array_join("recipients.to", ", "))
+    missing = F.raise_error(F.concat(F.lit("no recipient for "), F.col("product_key"))).cast("string") if production \
+        else F.lit(FALLBACK_RECIPIENT)
+    return s.select(
         "run_id",
         subject_line(F.col("display"), F.col("iso_week"), F.col("top_theme")).alias("subject"),
         F.col("total_reviews"),
         F.format_number(F.col("avg_rating"), 1).alias("avg_rating_text"),
         F.date_format("window_start", "MMM dd").alias("window_start_text"),
         F.date_format("window_end", "MMM dd, yyyy").alias("window_end_text"),
-        (F.replace(body, F.lit(LINK_PLACEHOLDER), F.lit(link)) if link else body).alias("text_body"))
-    if override_to:
-        return out.withColumn("to", F.lit(override_to))
-    if recipients is not None:
-        out = out.join(recipients, "run_id", "left")
-        return out.withColumn("to", F.coalesce("to", F.lit(FALLBACK_RECIPIENT)))
-    return out.withColumn("to", F.lit(FALLBACK_RECIPIENT))
+        body.alias("text_body"), F.coalesce("quotes", F.array()).cast("array<string>").alias("quotes"),
+        F.coalesce("ideas", F.array()).cast("array<string>").alias("ideas"),
+        F.when(listed.isNull(), missing).otherwise(listed).alias("to"),
+        F.coalesce(F.array_join("recipients.cc", ", "), F.lit("")).alias("cc"),
+        F.coalesce(F.array_join("recipients.bcc", ", "), F.lit("")).alias("bcc"))
+
+
+def summary_document(header: DataFrame, themes: DataFrame, quotes: DataFrame, actions: DataFrame,
+                     audiences: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One nested row per run: window, stats, themes, quotes, ideas, audiences, metrics."""
+    out = header.select(
+        "run_id", F.col("product_key").alias("product"),
+        F.struct(F.col("window_start").alias("start"), F.col("window_end").alias("end"),
+                 window_weeks(F.col("window_start"), F.col("window_end")).alias("weeks")).alias("window"),
+        F.struct(F.col("total_reviews"), round2_or_zero(F.col("avg_rating")).alias("avg_rating")).alias("stats"))
+    for items, order, cols, name in (
+            (themes, "rank", ("rank", "label", "description", "sentiment", "size"), "top_themes"),
+            (quotes, "quote_rank", ("text", "rating", "source"), "quotes"),
+            (actions, "item", ("title", "description"), "action_ideas"),
+            (audiences, "item", ("audience", "value"), "what_this_solves")):
+        out = out.join(_lines(items, order, F.struct(*cols), name), "run_id", "left")
+    m = metrics.select("run_id", F.struct("total_tokens", "llm_cost_usd", "llm_calls", "retries").alias("metrics"))
+    return out.join(m, "run_id", "left")
+
+
+def served_report(latest: DataFrame, header: DataFrame, themes: DataFrame, quotes: DataFrame,
+                  registry: DataFrame) -> DataFrame:
+    """J6 (F8, J3, T5): the newest successful run with its product's display name, status
+    and window, and one row for each whole theme (by rank) and quote (in order).
+
+    latest: (run_id, status, updated_at); registry: (key, display_name).
+    """
+    run = recent_runs(latest, 1, successful_only=True).select("run_id", "status")
+    none = F.lit(None)
+    items = themes.select("run_id", F.lit("theme").alias("kind"), F.col("rank").cast("int").alias("ord"),
+                          F.col("label").alias("text"), "description", "sentiment",
+                          F.col("size").alias("review_count"), none.cast("int").alias("rating"),
+                          none.cast("string").alias("source")).unionByName(
+        quotes.select("run_id", F.lit("quote").alias("kind"), F.col("ord").cast("int").alias("ord"), "text",
+                      none.cast("string").alias("description"), none.cast("string").alias("sentiment"),
+                      none.cast("long").alias("review_count"), "rating", "source"))
+    h = with_product(header.drop("display").join(run, "run_id"), registry)
+    return h.join(items, "run_id").select(
+        "run_id", F.col("display").alias("product"), "iso_week", "status",
+        F.col("window_start").cast("string").alias("window_start"),
+        F.col("window_end").cast("string").alias("window_end"), "kind", "ord", "text", "description",
+        "sentiment", "review_count", "rating", "source")
 
 
 def undelivered(due: DataFrame, deliveries: DataFrame) -> DataFrame:

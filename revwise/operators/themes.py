@@ -8,12 +8,10 @@ reviews, ≤ 10 samples, ≤ 3 quotes), so grouped arrays never grow with data.
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
@@ -35,16 +33,17 @@ DEFAULT_COST_CAP_USD = 0.50
 LABEL_SCHEMA = "label string, description string, sentiment string"
 
 
-@pandas_udf(StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-
 def nfkc(c: Column) -> Column:
-    """NFKC (Spark has no built-in) through an Arrow-batched pandas UDF.  Spark
+    """NFKC (Spark has no built-in) through an Arrow UDF, a batch at a time.  Spark
     evaluates the UDF for every row that reaches it; ASCII rows (NFKC-stable)
     keep their value.  It is applied only to quotes and the ≤ 30 pool bodies
     of a cluster, never to whole tables."""
+    # Defined here so that workers get it by value, wherever the job was started.
+    @arrow_udf(StringType())
+    def _nfkc(s: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+        return pc.utf8_normalize(s, form="NFKC")
+
     return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
 
 
@@ -217,12 +216,13 @@ def dedup_quotes(quotes: DataFrame, order_col: str = "size_rank", use_nfkc: bool
 
 
 def llm_cost(calls: DataFrame) -> DataFrame:
-    """Tokens, cost, calls and retries by run."""
+    """Tokens, cost, calls and retries by run; every failed attempt (``ok`` false)
+    counts as a retry, the last one too."""
     g = calls.groupBy("run_id").agg(
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"),
         F.count(F.lit(1)).alias("llm_calls"),
-        F.count_if(F.coalesce(F.col("attempt"), F.lit(1)) > 1).alias("retries"))
+        F.count_if(~F.col("ok")).alias("retries"))
     cost = (F.col("prompt_tokens") * COST_PER_PROMPT_TOKEN
             + F.col("completion_tokens") * COST_PER_COMPLETION_TOKEN)
     return g.select("run_id", "prompt_tokens", "completion_tokens",

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 from revwise.plans import (q_clusters, q_report, q_reviews, q_runs, q_sources,  # noqa: F401
                            q_themes, q_vectors)
-from revwise.plans.registry import ORACLE, QUERIES
+from revwise.plans.registry import QUERIES, oracle
 
-__all__ = ["QUERIES", "ORACLE"]
+__all__ = ["QUERIES", "oracle"]

@@ -51,7 +51,7 @@ def q_feed_reviews(spark, sf):
 def html_pages(spark, sf):
     r = reviews(spark, sf).filter(F.col("source") == "playstore")
     date = F.date_format("posted_at", ISO_Z)
-    reply = F.struct(F.lit("Review").alias("$kind"), F.substring("body", 1, 100).alias("contents"),
+    reply = F.struct(F.lit("Review").alias("$kind"), F.col("body").alias("contents"),
                      F.col("product_key").alias("reviewerName"), date.alias("date"),
                      F.col("rating").alias("rating"))
     node = F.to_json(F.struct(F.lit("Review").alias("$kind"), F.col("external_id").alias("id"),
@@ -71,11 +71,11 @@ def html_pages(spark, sf):
   UNION ALL
   SELECT product_key,
          sha1(product_key || strftime(posted_at, '%Y-%m-%dT%H:%M:%SZ')
-              || substring(substring(body, 1, 100), 1, 20)),
-         substring(body, 1, 100), rating, posted_at
+              || substring(body, 1, 20)),
+         body, rating, posted_at
   FROM reviews WHERE source = 'playstore')
 SELECT sha1('appstore' || external_id) AS id, product_key, external_id, {S.mask_sql('body')} AS body,
-       CASE WHEN rating <> 0 THEN rating END AS rating,
+       coalesce(rating, 0) AS rating,
        strftime(posted_at, '%Y-%m-%d %H:%M:%S') AS posted_at
 FROM nodes WHERE {S.word_count_sql('body')} >= 3 AND {S.not_emoji_only_sql('body')}""")
 def q_page_reviews(spark, sf):

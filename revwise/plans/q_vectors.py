@@ -43,16 +43,6 @@ def q_density_clusters(spark, sf):
     return density_clusters(cluster_vectors(spark, sf).select("run_id", "review_id", "embedding"))
 
 
-@query("q_keyphrases")
-def q_keyphrases(spark, sf):
-    """M5 over the clustered run: 8 diversified phrases per cluster."""
-    from revwise.operators import clusters as CL
-    from revwise.operators.phrases import keyphrases
-    from revwise.sources.testdata import clustered_reviews
-    mem = CL.members(clustered_reviews(spark, sf))
-    return keyphrases(mem, ["run_id", "cluster_id"], "body")
-
-
 @query("q_text_vectors")
 def q_text_vectors(spark, sf):
     """M1 (hashed TF-IDF provider) over all reviews: id, dimension, norm."""

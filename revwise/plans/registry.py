@@ -11,23 +11,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revwise.plans import sqlparts as S
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str | Callable[[], str]] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | Callable[[], str] | None = None):
+    """Register a query; ``sql`` may be a function where it needs the session (stop words)."""
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql.strip()
+            ORACLE[name] = sql
         return fn
     return deco
 
 
+def oracle() -> dict[str, str]:
+    """The DuckDB twins as text."""
+    return {k: (v if isinstance(v, str) else v()).strip() for k, v in ORACLE.items()}
+
+
 # --- SQL twins of the adapter views (DuckDB dialect) -----------------------
 
 REVIEWS_CTE = """
@@ -70,6 +78,7 @@ cluster_vectors AS (
 CALL_LOG_CTE = """
 call_log AS (
   SELECT CAST(conv_id AS VARCHAR) AS run_id, CAST(turn AS INTEGER) AS seq, role,
+         length(text) % 5 <> 0 AS ok,
          CAST(CASE WHEN role IN ('user', 'system') THEN length(text) // 4 ELSE 0 END AS BIGINT)
            AS prompt_tokens,
          CAST(CASE WHEN role IN ('user', 'system') THEN 0 ELSE length(text) // 4 END AS BIGINT)
@@ -81,9 +90,11 @@ call_log AS (
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 
-CLUSTERED_REVIEWS_CTE = """
+CLUSTERED_REVIEWS_CTE = f"""
+sreviews AS (
+  SELECT * REPLACE ({S.mask_sql('body')} AS body) FROM reviews WHERE {S.valid_sql()}),
 creviews AS (
   SELECT 'run-0' AS run_id, r.id AS review_id, r.doc_id, e.embedding, e.label - 1 AS cluster,
          r.body, r.rating, r.source, r.posted_at, r.product_key
-  FROM embeddings e JOIN reviews r ON r.doc_id = e.vec_id
+  FROM embeddings e JOIN sreviews r ON r.doc_id = e.vec_id
 )"""

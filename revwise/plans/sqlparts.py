@@ -37,10 +37,6 @@ def collapse_sql(expr: str) -> str:
     return f"regexp_replace(regexp_replace({expr}, '[{WS_CLASS}]+', ' ', 'g'), '^ | $', '', 'g')"
 
 
-def normalise_sql(expr: str) -> str:
-    return f"lower({collapse_sql(expr)})"
-
-
 def iso_week_sql(ts: str) -> str:
     return f"strftime(CAST({ts} + INTERVAL 330 MINUTE AS DATE), '%G-W%V')"
 

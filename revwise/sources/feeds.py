@@ -26,7 +26,6 @@ STORE_SCHEMA = ("product_key string, reviewId string, content string, score int,
 SCRIPT_RE = r"(?s)<script[^>]*>(.*?)</script>"
 OBJECT_RE = r"(?s)\{.*\}"
 REVIEW_KIND = "Review"
-MAX_DEPTH = 64
 
 
 def parse_date(text: Column, fallback: Column) -> tuple[Column, Column]:
@@ -73,34 +72,31 @@ def feed_reviews(pages: DataFrame, since: str | None, ingested_at: str) -> DataF
     return _finish(rows, "appstore", since, ingested_at)
 
 
-def _walk_reviews(roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """All nested objects with ``$kind = 'Review'`` under each root VARIANT.
+def _walk_reviews(roots: DataFrame) -> DataFrame:
+    """All nested objects with ``$kind = 'Review'`` under each root VARIANT, at any depth.
 
     One round per nesting level: objects and arrays are exploded into their
-    children; rounds stop when no container is left.  Each round is a
-    checkpointed table, so the lineage is one level deep.
+    children, of which only objects and arrays are kept; rounds stop when none
+    is left.  Each round is a checkpointed table, so the lineage is one level deep.
     """
     kind = F.try_variant_get(F.col("node"), '$["$kind"]', "string")
-    nodes = roots
-    hits = None
-    for _ in range(max_depth):
-        h = nodes.filter(kind == REVIEW_KIND)
-        hits = h if hits is None else hits.unionByName(h)
-        as_obj = F.try_variant_get(F.col("node"), "$", "map<string,variant>")
-        as_arr = F.try_variant_get(F.col("node"), "$", "array<variant>")
-        kids = F.coalesce(F.map_values(as_obj), as_arr)
-        nxt = nodes.select(*[c for c in nodes.columns if c != "node"],
-                           F.explode(kids).alias("node"))
-        nodes = materialize(nxt)
-        if nodes.isEmpty():
-            break
+    as_obj = F.try_variant_get(F.col("node"), "$", "map<string,variant>")
+    as_arr = F.try_variant_get(F.col("node"), "$", "array<variant>")
+    nodes = materialize(roots)
+    hits = nodes.filter(kind == REVIEW_KIND)
+    while not nodes.isEmpty():
+        kids = nodes.select(*[c for c in nodes.columns if c != "node"],
+                            F.explode(F.coalesce(F.map_values(as_obj), as_arr)).alias("node"))
+        nodes = materialize(kids.filter(as_obj.isNotNull() | as_arr.isNotNull()))
+        hits = hits.unionByName(nodes.filter(kind == REVIEW_KIND))
     return hits
 
 
 def page_reviews(pages: DataFrame, since: str | None, ingested_at: str) -> DataFrame:
     """(product_key, html) → reviews found in embedded page JSON."""
-    scripts = (pages.select("product_key", F.explode(F.regexp_extract_all("html", F.lit(SCRIPT_RE), 1))
-                            .alias("script"))
+    scripts = (pages.filter(F.col("html").contains("reviewerName"))
+               .select("product_key", F.explode(F.regexp_extract_all("html", F.lit(SCRIPT_RE), 1))
+                       .alias("script"))
                .filter(F.col("script").contains("reviewerName")))
     roots = (scripts.select("product_key", F.try_parse_json(F.regexp_extract("script", OBJECT_RE, 0))
                             .alias("node"))
@@ -118,7 +114,7 @@ def page_reviews(pages: DataFrame, since: str | None, ingested_at: str) -> DataF
         fallback_external_id(g("$.id"), author, date_text, body).alias("external_id"),
         body.alias("body"), F.coalesce(g("$.title"), F.lit("")).alias("title"),
         F.coalesce(date_text, F.lit("")).alias("date_text"),
-        F.when(rating != 0, rating).alias("rating"),
+        F.coalesce(rating, F.lit(0)).alias("rating"),
         F.lit(None).cast("string").alias("version"))
     return _finish(rows, "appstore", since, ingested_at)
 

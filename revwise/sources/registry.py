@@ -1,8 +1,8 @@
 """Product registry (S7): configuration rows as a small DataFrame.
 
 The registry is configuration (one row per product), so it is the one input
-built on the driver; it joins to data as a broadcast side (its size is the
-number of configured products).
+built on the driver; whether it joins as a broadcast side is left to the
+size threshold.
 """
 
 from __future__ import annotations
@@ -35,5 +35,5 @@ def get_product(reg: DataFrame, key: str) -> DataFrame:
 def with_product(runs: DataFrame, reg: DataFrame) -> DataFrame:
     """Run → product display (left join; a missing display falls back to the key)."""
     r = reg.select(F.col("key").alias("product_key"), "display_name")
-    return (runs.join(F.broadcast(r), "product_key", "left")
+    return (runs.join(r, "product_key", "left")
             .withColumn("display", F.coalesce("display_name", "product_key")).drop("display_name"))

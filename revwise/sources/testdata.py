@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revwise.functions.text import sha1_id
+from revwise.operators.aggregates import stored_reviews
 
 # Ingest clock of the adapter batch (the reference stamps `now`).
 ADAPTER_INGESTED_AT = "2024-06-01 00:00:00"
@@ -56,6 +57,11 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviews as the store keeps them: filters passed, body and title masked."""
+    return stored_reviews(reviews(spark, sf_dir))
+
+
 # event_type → run status (events stand in for the run status log)
 EVENT_STATUS = {"signup": "pending", "view": "ingested", "click": "clustered",
                 "purchase": "summarized", "error": "failed"}
@@ -83,21 +89,23 @@ def cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations as a model call log: conv = run, turn = seq, tokens = len // 4."""
+    """conversations as a model call log: conv = run, turn = seq, tokens = len // 4; an
+    attempt failed (``ok`` false) when its text's length divides by 5."""
     c = load(spark, sf_dir, "conversations")
     toks = F.floor(F.length("text") / 4).cast("bigint")
     is_prompt = F.col("role").isin("user", "system")
     return c.select(F.col("conv_id").cast("string").alias("run_id"),
                     F.col("turn").cast("int").alias("seq"),
-                    F.col("role"),
+                    F.col("role"), (F.length("text") % 5 != 0).alias("ok"),
                     F.when(is_prompt, toks).otherwise(F.lit(0).cast("bigint")).alias("prompt_tokens"),
                     F.when(~is_prompt, toks).otherwise(F.lit(0).cast("bigint")).alias("completion_tokens"))
 
 
 def clustered_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One run's clustered reviews: embeddings (label − 1 = cluster) ⋈ reviews on doc id."""
+    """One run's clustered reviews: embeddings (label − 1 = cluster) ⋈ stored (accepted and
+    masked) reviews on doc id."""
     e = load(spark, sf_dir, "embeddings")
-    r = reviews(spark, sf_dir)
+    r = stored(spark, sf_dir)
     j = e.join(r, e.vec_id == r.doc_id)
     return j.select(F.lit("run-0").alias("run_id"), F.col("id").alias("review_id"), "doc_id",
                     "embedding", (F.col("label") - 1).alias("cluster"), "body", "rating",
