@@ -183,7 +183,7 @@ SELECT coalesce(n.key, o.key) AS key,
        CASE WHEN n.key IS NOT NULL THEN n.appstore_id ELSE o.appstore_id END AS appstore_id,
        CASE WHEN n.key IS NOT NULL THEN n.play_package ELSE o.play_package END AS play_package,
        CASE WHEN n.key IS NOT NULL THEN n.gmail_to ELSE o.gmail_to END AS gmail_to,
-       CASE WHEN o.key IS NOT NULL THEN o.gdoc_id ELSE n.gdoc_id END AS gdoc_id
+       o.gdoc_id
 FROM products_old o FULL OUTER JOIN products_new n ON o.key = n.key""")
 def q_upsert_products(spark, sf):
     return ST.upsert_products(products_registry(spark, sf), products_update(spark, sf))

@@ -1,63 +1,101 @@
-"""Vector queries: exact neighbours, density clusters, text vectors, PCA, key phrases."""
+"""Vector queries: neighbours, density clusters, text vectors, PCA."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from revwise.operators import embed as EM
 from revwise.operators import knn as KN
-from revwise.plans.registry import CLUSTER_VECTORS_CTE, query, with_ctes
-from revwise.sources.testdata import cluster_vectors
+from revwise.plans.registry import CLUSTER_VECTORS_CTE, REVIEWS_CTE, query, with_ctes
+from revwise.sources.testdata import cluster_vectors, reviews
 
 KNN_K = 15
-# Tree leaves of 64 points: at sf0.01 (500 vectors) the search crosses leaves,
-# so the check exercises the pruning, not just one all-in-one leaf.
-KNN_LEAF = 64
+DIM = 64  # of the test table's vectors
+
+
+def directions_sql() -> str:
+    rows = [f"({t}, {j}, {r})" for t, signs in enumerate(KN.sign_directions(DIM)) for j, r in enumerate(signs)]
+    return ", ".join(rows)
 
 
 @query("q_knn", with_ctes(CLUSTER_VECTORS_CTE) + f"""
-, u AS (
-  SELECT run_id, review_id,
+, p AS (
+  SELECT run_id, review_id, CAST(embedding AS DOUBLE[]) AS x,
          list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(
            list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v
   FROM cluster_vectors),
-n AS (SELECT run_id, count(*) AS n FROM u GROUP BY run_id),
+dirs(t, j, r) AS (VALUES {directions_sql()}),
+sg AS (
+  SELECT run_id, review_id, t, string_agg(CASE WHEN list_inner_product(x, CAST(r AS DOUBLE[])) >= 0
+                                          THEN '1' ELSE '0' END, '' ORDER BY j) AS s
+  FROM p CROSS JOIN dirs GROUP BY ALL),
+n AS (SELECT run_id, greatest(0, CAST(ceil(log2(count(*) / {KN.BUCKET}.0)) AS BIGINT)) AS l0 FROM p GROUP BY run_id),
+lv AS (SELECT sg.*, unnest(generate_series(n.l0, {KN.SIGNS})) AS l FROM sg JOIN n USING (run_id)),
+cnt AS (SELECT *, count(*) OVER (PARTITION BY run_id, t, l, substring(s, 1, l)) AS c FROM lv),
+pick AS (
+  SELECT run_id, review_id, t, s, min(l) FILTER (c <= {KN.BUCKET}) AS l FROM cnt GROUP BY ALL),
+near AS (
+  SELECT DISTINCT a.run_id, a.review_id, b.review_id AS neighbor_id
+  FROM pick a JOIN pick b ON a.run_id = b.run_id AND a.t = b.t AND a.l = b.l
+   AND substring(a.s, 1, a.l) = substring(b.s, 1, b.l) AND a.review_id <> b.review_id),
 pairs AS (
-  SELECT a.run_id, a.review_id, b.review_id AS neighbor_id,
-         1.0 - list_inner_product(a.v, b.v) AS distance
-  FROM u a JOIN u b ON a.run_id = b.run_id AND a.review_id <> b.review_id)
-SELECT p.run_id, p.review_id, p.neighbor_id, CAST(p.rank AS INTEGER) AS rank,
-       round(p.distance, 6) AS distance
-FROM (SELECT *, row_number() OVER (PARTITION BY run_id, review_id ORDER BY distance, neighbor_id)
-                AS rank FROM pairs) p JOIN n USING (run_id)
-WHERE p.rank <= least({KNN_K}, n.n - 1)""")
+  SELECT c.run_id, c.review_id, c.neighbor_id, 1.0 - list_inner_product(a.v, b.v) AS distance
+  FROM near c JOIN p a ON a.run_id = c.run_id AND a.review_id = c.review_id
+  JOIN p b ON b.run_id = c.run_id AND b.review_id = c.neighbor_id)
+SELECT run_id, review_id, neighbor_id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id, review_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
+WHERE rank <= {KNN_K}""")
 def q_knn(spark, sf):
-    nn = KN.knn(cluster_vectors(spark, sf), k=KNN_K, leaf_size=KNN_LEAF)
+    """Neighbours found in sign buckets; the twin holds the same directions."""
+    nn = KN.knn_hashed(cluster_vectors(spark, sf), k=KNN_K)
     return nn.select("run_id", "review_id", "neighbor_id", F.col("rank").cast("int").alias("rank"),
                      F.round("distance", 6).alias("distance"))
 
 
-@query("q_density_clusters")
+@query("q_density_clusters", with_ctes(CLUSTER_VECTORS_CTE) + """
+SELECT run_id, review_id, CAST(dense_rank() OVER (PARTITION BY run_id ORDER BY size DESC, first) - 1 AS INTEGER) AS cluster
+FROM (SELECT run_id, review_id, count(*) OVER w AS size, min(review_id) OVER w AS first
+      FROM cluster_vectors WINDOW w AS (PARTITION BY run_id, cluster))""")
 def q_density_clusters(spark, sf):
-    """M3 on the embeddings of one run (rows-only check; planted-blob tests in pytest)."""
+    """M3 on vectors planted by the table's labels: a label's axis plus a fortieth of the
+    embedding, so that each label must come out as one cluster."""
     from revwise.operators.density import density_clusters
-    return density_clusters(cluster_vectors(spark, sf).select("run_id", "review_id", "embedding"))
+    axis = F.transform(F.sequence(F.lit(-1), F.lit(14)), lambda i: (i == F.col("cluster")).cast("double"))
+    planted = F.concat(axis, F.transform(F.col("embedding").cast("array<double>"), lambda x: x / 40))
+    rows = cluster_vectors(spark, sf).select("run_id", "review_id", planted.alias("embedding"))
+    return density_clusters(rows)
 
 
-@query("q_text_vectors")
+@query("q_text_vectors", with_ctes(REVIEWS_CTE) + f"""
+, tok AS (SELECT id, unnest(regexp_extract_all(lower(body), '{EM.TOKEN_PATTERN}')) AS t FROM reviews),
+tf AS (
+  SELECT id, CAST(CAST('0x' || substring(sha1(t), 1, 8) AS BIGINT) % {EM.DIM} AS INTEGER) AS bucket, count(*) AS tf
+  FROM tok GROUP BY ALL),
+df AS (SELECT bucket, count(*) AS df FROM tf GROUP BY bucket),
+x AS (
+  SELECT id, bucket, tf * ln(((SELECT count(*) FROM reviews) + 1) / (df + 1)) AS x FROM tf JOIN df USING (bucket))
+SELECT id, bucket, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS value FROM x WHERE x <> 0""")
 def q_text_vectors(spark, sf):
-    """M1 (hashed TF-IDF provider) over all reviews: id, dimension, norm."""
-    from revwise.operators.embed import embed
-    from revwise.sources.testdata import reviews
-    v = embed(reviews(spark, sf).select("id", "body"), "hashed_tfidf")
-    return v.select("id", F.size("embedding").alias("dim"),
-                    F.round(F.sqrt(F.aggregate(F.transform("embedding", lambda x: x * x),
-                                               F.lit(0.0), lambda a, b: a + b)), 6).alias("norm"))
+    """M1 (hashed TF-IDF provider) over all reviews: the vectors' non-zero cells."""
+    cells = EM.tfidf_cells(reviews(spark, sf).select("id", "body"))
+    return cells.select("id", "bucket", F.round("value", 6).alias("value"))
 
 
-@query("q_reduce")
+@query("q_reduce", with_ctes(CLUSTER_VECTORS_CTE) + """
+SELECT run_id, count(*) AS n, CAST(greatest(2, least(15, count(*) - 2)) AS INTEGER) AS dim, true AS centred, true AS ordered,
+       true AS within_total
+FROM cluster_vectors GROUP BY run_id""")
 def q_reduce(spark, sf):
-    """M2: PCA of the run's vectors to min(15, n − 2) components."""
-    from revwise.operators.embed import reduce_dims
-    r = reduce_dims(cluster_vectors(spark, sf).select("run_id", "review_id", "embedding"))
-    return r.select("run_id", "review_id", F.size("reduced").alias("dim"),
-                    F.col("reduced")[0].alias("pc1"))
+    """M2: PCA of the run's vectors, and what must hold of it: the dimension, component
+    means of 0, falling variances, and no more variance than the vectors have."""
+    vec = cluster_vectors(spark, sf).select("run_id", "review_id", "embedding")
+    r = EM.reduce_dims(vec).select("run_id", "review_id", F.posexplode("reduced").alias("c", "x"))
+    per = r.groupBy("run_id", "c").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+    total = (vec.select("run_id", F.posexplode("embedding").alias("d", "x")).groupBy("run_id", "d")
+             .agg(F.var_pop(F.col("x").cast("double")).alias("v")).groupBy("run_id").agg(F.sum("v").alias("total")))
+    g = per.groupBy("run_id").agg(
+        F.max("n").alias("n"), F.count(F.lit(1)).cast("int").alias("dim"), F.max(F.abs("mean")).alias("mean"),
+        F.transform(F.array_sort(F.collect_list(F.struct("c", "var"))), lambda s: s["var"]).alias("vars"), F.sum("var").alias("all"))
+    falling = F.forall(F.sequence(F.lit(1), F.size("vars") - 1), lambda i: F.col("vars")[i] <= F.col("vars")[i - 1] + 1e-9)
+    return g.join(total, "run_id").select("run_id", "n", "dim", (F.col("mean") < 1e-6).alias("centred"), falling.alias("ordered"),
+                                          (F.col("all") <= F.col("total") + 1e-9).alias("within_total"))

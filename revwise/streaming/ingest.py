@@ -4,34 +4,44 @@
 micro-batch is parsed (S3), filtered and masked, then upserted (S5) into the
 reviews table.  Re-running over the same files is safe twice over: the
 checkpoint remembers processed files, and the upsert is idempotent (stable
-id, last writer wins).
+id, last writer wins).  ``ingest_feed_stream`` does the same for the first
+store's feed pages (S1).
 
-The table is written as numbered versions under ``<table>/v=<n>``; a batch
-reads the newest version and writes the next one, so no plan overwrites the
-path it reads.
+A batch reads and writes only the table buckets its rows fall into (see
+``revwise.sources.store.upsert_table``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from revwise.sources.feeds import STORE_SCHEMA, store_rows
-from revwise.sources.store import read_latest, upsert_latest, write_new_version
+from revwise.sources.feeds import STORE_SCHEMA, feed_reviews, store_rows
+from revwise.sources.store import read_latest, upsert_table  # noqa: F401
 
 REVIEW_COLS = ["id", "product_key", "source", "external_id", "body", "rating", "title",
                "posted_at", "version", "language", "country", "ingested_at"]
 
 
+def _run(src: DataFrame, parse, table: str, checkpoint: str):
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        upsert_table(parse(batch).select(*REVIEW_COLS), table)
+
+    return (src.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def ingest_stream(spark: SparkSession, landing: str, table: str, checkpoint: str,
                   ingested_at: str, since: str | None = None):
-    """Start the stream (AvailableNow) and return the StreamingQuery."""
+    """Start the second store's stream (AvailableNow) and return the StreamingQuery."""
     src = spark.readStream.schema(STORE_SCHEMA).json(landing)
+    return _run(src, lambda b: store_rows(b, since, ingested_at), table, checkpoint)
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        new = store_rows(batch, since, ingested_at).select(*REVIEW_COLS)
-        old = read_latest(batch.sparkSession, table)
-        merged = new.dropDuplicates(["id"]) if old is None else upsert_latest(old, new, "id")
-        write_new_version(merged, table)
 
-    return (src.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def ingest_feed_stream(spark: SparkSession, landing: str, table: str, checkpoint: str,
+                       ingested_at: str, since: str | None = None):
+    """The first store's feed: one JSON page per file under ``product_key=<key>`` folders."""
+    src = spark.readStream.option("wholetext", True).text(landing)
+    key = F.regexp_extract(F.col("_metadata.file_path"), r"product_key=([^/]+)", 1)
+    pages = src.select(key.alias("product_key"), "value")
+    return _run(pages, lambda b: feed_reviews(b, since, ingested_at), table, checkpoint)

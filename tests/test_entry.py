@@ -9,17 +9,17 @@ SF = "/root/testdata/sf0.001"
 
 def test_entry_runs(spark):
     df = E.entry(spark)
-    assert df.count() >= 0 and len(df.columns) > 0
+    assert df.columns == ["run_id", "cluster_id", "keyphrases", "medoid", "samples"] and df.count() > 0
 
 
 def test_oracles_belong_to_queries():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-FAST = [k for k in E.queries() if k not in ("q_density_clusters", "q_keyphrases", "q_knn")]
+# Queries of the optional subpackage have their own tests.
+OWN = [k for k in E.queries() if k.startswith("q_")]
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", OWN)
 def test_query_runs_at_smoke_scale(spark, name):
-    df = E.queries()[name](spark, SF)
-    df.limit(5).collect()
+    E.queries()[name](spark, SF).write.format("noop").mode("overwrite").save()

@@ -54,6 +54,28 @@ def test_page_fallback_only_without_feed_entries(spark):
     assert got == {("p1", "f"), ("p2", "h")}
 
 
+def test_page_walk_reaches_any_depth(spark):
+    node = {"$kind": "Review", "id": "deep", "contents": BODY, "reviewerName": "n", "date": "2024-05-01"}
+    for _ in range(100):
+        node = {"reply": [node]}
+    pages = spark.createDataFrame([("p", _html(node))], "product_key string, html string")
+    got = FD.page_reviews(pages, None, NOW).collect()
+    assert [(r.external_id, r.rating) for r in got] == [("deep", 0)]
+
+
+def test_feed_stream(spark, tmpdir_path):
+    from revwise.streaming.ingest import ingest_feed_stream
+    landing = os.path.join(tmpdir_path, "feed", "product_key=p")
+    os.makedirs(landing)
+    table, ck = os.path.join(tmpdir_path, "t"), os.path.join(tmpdir_path, "c")
+    for k in range(2):
+        entry = {"author": {}, "id": {"label": f"e{k}"}, "content": {"label": BODY}, "updated": {"label": "2024-05-01T00:00:00Z"}}
+        with open(os.path.join(landing, f"{k}.json"), "w") as f:
+            f.write(_page([entry]))
+        ingest_feed_stream(spark, os.path.dirname(landing), table, ck, NOW).awaitTermination()
+    assert {(r.product_key, r.external_id) for r in read_latest(spark, table).collect()} == {("p", "e0"), ("p", "e1")}
+
+
 def test_store_rows_drop_undated(spark):
     b = spark.createDataFrame([("p", "s1", BODY, 3, "2024-05-01 10:00:00", None),
                                ("p", "s2", BODY, 4, None, None)], FD.STORE_SCHEMA)
