@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +71,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = 256,
             at += n
 
 
+def worker_cache(key: tuple, make: Callable[[], Any]) -> Any:
+    """``make()``, kept between the tasks of one Python worker process; one object at a time for
+    each first part of the key.  Only for what every task can make again."""
+    held = sys.modules.setdefault("revwise_worker_cache", types.ModuleType("revwise_worker_cache")).__dict__
+    if held.get(key[0], (None,))[0] != key:
+        held[key[0]] = (key, make())
+    return held[key[0]][1]
+
+
 def list_array(values: np.ndarray, lengths: np.ndarray | list[int]) -> pa.ListArray:
     """Arrow list column from its flat values and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)

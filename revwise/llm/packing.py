@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from revwise.llm.common import slices, stage_table
+from revwise.llm.common import slices, stage_table, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
 CELLS = 512
-#: Words whose ids a task remembers (about 200 bytes each).
-CACHED_WORDS = 300_000
+#: Words whose ids a Python worker remembers (about 250 bytes each).
+CACHED_WORDS = 1_000_000
 #: Characters that str.split cuts at although the tokenizer does not take them for blanks.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -37,7 +37,10 @@ Pattern = tuple[list[tuple[int, int]], int]  # [(length, how often in the bin)],
 class WordIds:
     """Ids of texts under a tokenizer that drops blanks, so that a text's ids are those of its words.
 
-    Words are encoded once and remembered; a text then is a join of its words' ids.
+    Words are encoded once and remembered; a text then is a join of its words' ids.  New
+    words go through the tokenizer's own steps (normalizer, pre-tokenizer, model), the
+    first two for all new words at once; the model sees each pre-token once.  Words that
+    hold an added token take the tokenizer's whole way.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,25 +48,51 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ids = range(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        self.packed = [i.to_bytes(4, "little") for i in ids]
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.pieces) > CACHED_WORDS:
+            self.pieces.clear()
+        joined = self.tokenizer.normalizer.normalize_str(" ".join(words))
+        tokenize, pieces, packed = self.tokenizer.model.tokenize, self.pieces, self.packed
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(joined)
+        blanks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32) == 32)
+        if len(blanks) != len(words) - 1:  # never seen: a normalizer that makes blanks
+            self.known.update((w, self._whole(w)) for w in words)
+            return
+        starts = np.fromiter([x[1][0] for x in cut], dtype=np.int64, count=len(cut))
+        ends = np.searchsorted(starts, np.append(blanks, len(joined)))
+        for piece in {x[0] for x in cut}.difference(pieces):
+            pieces[piece] = b"".join([packed[t.id] for t in tokenize(piece)])
+        encoded = [pieces[x[0]] for x in cut]
+        at = 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self.known[word] = encoded[at] if end == at + 1 else b"".join(encoded[at:end])
+            at = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; a null text is an empty one."""
         odd = [t is not None and any(c in t for c in _SEPARATORS) for t in texts]
         words = [[] if t is None or o else t.split() for t, o in zip(texts, odd, strict=True)]
-        missing = {w for ws in words for w in ws if w not in self.known}
+        used = set().union(*words)
+        missing = used - self.known.keys()
         if len(self.known) + len(missing) > CACHED_WORDS:
             self.known.clear()
-            missing = {w for ws in words for w in ws}
-        order = list(missing)
-        self.known.update(zip(order, self._encode(order), strict=True))
+            missing = used
+        found = [a for a in self.added if a in " ".join(missing)]
+        special = [w for w in missing if any(a in w for a in found)] if found else []
+        self.known.update((w, self._whole(w)) for w in special)
+        if plain := list(missing.difference(special)):
+            self._learn(plain)
         get = self.known.__getitem__
-        return [self._encode([t])[0] if o else b"".join(map(get, ws))
-                for t, ws, o in zip(texts, words, odd, strict=True)]
+        return [self._whole(t) if o else b"".join(map(get, ws)) for t, ws, o in zip(texts, words, odd, strict=True)]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -74,8 +103,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(tokenizer)
-        for part in slices(batches, "text"):
+        encoder = worker_cache(("word ids", tokenizer), lambda: WordIds(tokenizer))
+        for part in slices(batches, "text", 1024, 8 << 20):
             doc, piece, start, ids = [], [], [], []
             for d, encoded in zip(part.column("doc_id").to_pylist(),
                                   encoder.encode(part.column("text").to_pylist()), strict=True):
