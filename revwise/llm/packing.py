@@ -12,11 +12,13 @@ hash cells, then rows of a cell), so a frequent length is never in one task.
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -27,9 +29,12 @@ CAPACITY = 4096
 END_ID = 1
 CELLS = 512
 #: Words whose ids a Python worker remembers (about 250 bytes each).
-CACHED_WORDS = 1_000_000
-#: Characters that str.split cuts at although the tokenizer does not take them for blanks.
-_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+CACHED_WORDS = 400_000
+#: Blanks beyond ASCII: the tokenizer cuts at them, so a word that holds one goes its whole way.
+_ODD = re.compile(r"\s")
+#: Normalized words of ASCII letters, and marks behind them (no apostrophe, which may begin a
+#: piece with letters): the pre-tokenizer makes one piece of the letters and one of the marks.
+_SIMPLE = re.compile(r"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
 
 Pattern = tuple[list[tuple[int, int]], int]  # [(length, how often in the bin)], number of bins
 
@@ -57,42 +62,69 @@ class WordIds:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = self.pieces[piece] = b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(piece)])
+        return found
+
     def _learn(self, words: list[str]) -> None:
+        if not words:
+            return
         if len(self.pieces) > CACHED_WORDS:
             self.pieces.clear()
-        joined = self.tokenizer.normalizer.normalize_str(" ".join(words))
-        tokenize, pieces, packed = self.tokenizer.model.tokenize, self.pieces, self.packed
-        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(joined)
-        blanks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32) == 32)
-        if len(blanks) != len(words) - 1:  # never seen: a normalizer that makes blanks
+        normal = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
+        if len(normal) != len(words):  # never seen: a normalizer that makes blanks
             self.known.update((w, self._whole(w)) for w in words)
             return
+        known, piece, simple = self.known, self._piece, _SIMPLE.fullmatch
+        others, forms = [], []
+        for word, form in zip(words, normal, strict=True):
+            if m := simple(form):
+                letters, marks = m.groups()
+                known[word] = piece(letters) + piece(marks) if marks else piece(letters)
+            else:
+                others.append(word)
+                forms.append(form)
+        joined = " ".join(forms)
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(joined)
+        lengths = np.fromiter(map(len, forms), dtype=np.int64, count=len(forms))
         starts = np.fromiter([x[1][0] for x in cut], dtype=np.int64, count=len(cut))
-        ends = np.searchsorted(starts, np.append(blanks, len(joined)))
-        for piece in {x[0] for x in cut}.difference(pieces):
-            pieces[piece] = b"".join([packed[t.id] for t in tokenize(piece)])
-        encoded = [pieces[x[0]] for x in cut]
+        ends = np.searchsorted(starts, np.cumsum(lengths + 1) - 1)
+        encoded = [piece(x[0]) for x in cut]
         at = 0
-        for word, end in zip(words, ends.tolist(), strict=True):
-            self.known[word] = encoded[at] if end == at + 1 else b"".join(encoded[at:end])
+        for word, end in zip(others, ends.tolist(), strict=True):
+            known[word] = encoded[at] if end == at + 1 else b"".join(encoded[at:end])
             at = end
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; a null text is an empty one."""
-        odd = [t is not None and any(c in t for c in _SEPARATORS) for t in texts]
-        words = [[] if t is None or o else t.split() for t, o in zip(texts, odd, strict=True)]
-        used = set().union(*words)
-        missing = used - self.known.keys()
-        if len(self.known) + len(missing) > CACHED_WORDS:
-            self.known.clear()
-            missing = used
-        found = [a for a in self.added if a in " ".join(missing)]
-        special = [w for w in missing if any(a in w for a in found)] if found else []
-        self.known.update((w, self._whole(w)) for w in special)
-        if plain := list(missing.difference(special)):
-            self._learn(plain)
-        get = self.known.__getitem__
-        return [self._whole(t) if o else b"".join(map(get, ws)) for t, ws, o in zip(texts, words, odd, strict=True)]
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; a null text is an empty one.
+
+        Arrow cuts the texts at ASCII blanks and numbers the different words; Python sees each
+        of these once, and the texts' ids are put together by their numbers.
+        """
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        numbered = words.values.dictionary_encode()
+        number = numbered.indices.to_numpy()
+        used = numbered.dictionary.to_pylist()
+        if len(self.known) > CACHED_WORDS:  # frequent words are among those used now
+            self.known = {w: self.known[w] for w in used if w in self.known}
+        if missing := [w for w in used if w not in self.known]:
+            text = "".join(missing)
+            odd = [a for a in {*self.added, *_ODD.findall(text)} if a in text]
+            whole = [w for w in missing if not w or (odd and any(a in w for a in odd))]
+            self.known.update((w, self._whole(w)) for w in whole)
+            self._learn([w for w in missing if w not in self.known])
+        encoded = [self.known[w] for w in used]
+        length = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) // 4
+        first = np.cumsum(length) - length
+        ids = np.frombuffer(b"".join(encoded), dtype="<u4")
+        # Each word's range of ids, one behind the other.
+        n = length[number]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = ids[np.repeat(first[number] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cuts = 4 * ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return [out[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -107,7 +139,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
         for part in slices(batches, "text", 1024, 8 << 20):
             doc, piece, start, ids = [], [], [], []
             for d, encoded in zip(part.column("doc_id").to_pylist(),
-                                  encoder.encode(part.column("text").to_pylist()), strict=True):
+                                  encoder.encode(part.column("text")), strict=True):
                 encoded += end
                 for k, at in enumerate(range(0, len(encoded), 4 * capacity)):
                     doc.append(d)
