@@ -266,7 +266,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sketch = stage_table(
         texts.mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch")
     linkable = sketch.where("doc_id is not null and n_shingles > 0")
-    reps = linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # A table, so that the join of all copies with it below can split a very large group of copies.
+    reps = stage_table(linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "reps")
     vertices = (linkable.join(reps.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
                 .select(F.col("doc_id").alias("id"), "n_shingles", "bands"))
     rows = vertices.select("id", "n_shingles", F.explode("bands").alias("bucket"))
