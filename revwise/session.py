@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,7 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, taken from ``spark.checkpoint.dir``.
 
     On a cluster the folder is the shared one the cluster names.  Only when the
-    setting is absent (local tests) a private folder under the temp dir is made.
+    setting is absent (``local`` masters only) a private folder under the temp dir is
+    made, which goes when the process ends.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,9 +62,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             conf_dir = None
     if not conf_dir:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         conf_dir = tempfile.mkdtemp(prefix="revwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, conf_dir, ignore_errors=True)  # made here, for this process
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
@@ -77,6 +83,16 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def _stage_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages-{spark.sparkContext.applicationId}"
+
+
+def drop_stage_tables(spark: SparkSession) -> None:
+    """Remove the stage tables this application has written, once their readers are done."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stage_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize_table(df):
     """Stage boundary as a written parquet table in the shared checkpoint folder,
     continued from a fresh scan (fresh attributes, no carried constraints).
@@ -85,9 +101,6 @@ def materialize_table(df):
     constant column ("key not found" during planning); the label-propagation
     loop of the density operator hits that, so it uses tables instead.
     """
-    import uuid
-
-    base = ensure_checkpoint_dir(df.sparkSession)
-    path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{_stage_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
