@@ -34,9 +34,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
 MAX_EPOCHS = 2
 #: The mix has at most about this many blocks ...
-BLOCKS = 65_536
+BLOCKS = 262_144
 #: ... of at least so many words.
-LEAST_BLOCK = 64
+LEAST_BLOCK = 16
 SHARDS = 64
 CELLS_LOG2 = 12
 #: More sources than this are refused: their totals and quotas are held by the driver.
