@@ -24,11 +24,12 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
     Cuts the lineage: what follows restarts from files every executor can read,
-    so a lost executor never repeats the work above.
+    so a lost executor never repeats the work above.  ``revwise.session.drop_stage_tables``
+    removes the application's tables when their readers are done.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/stages-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -106,7 +106,7 @@ class WordIds:
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         numbered = words.values.dictionary_encode()
         number = numbered.indices.to_numpy()
-        used = numbered.dictionary.to_pylist()
+        used = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHED_WORDS:  # frequent words are among those used now
             self.known = {w: self.known[w] for w in used if w in self.known}
         if missing := [w for w in used if w not in self.known]:
