@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from revwise.llm.common import slices, stage_table, worker_cache
+from revwise.llm.common import slices, stage_table
 
 CAPACITY = 4096
 END_ID = 1
 CELLS = 512
-#: Words whose ids a Python worker remembers (about 250 bytes each).
-CACHED_WORDS = 400_000
+#: Words, and pieces of words, whose ids a task remembers (about 250 bytes each).
+CACHED_WORDS = 250_000
 #: Blanks beyond ASCII: the tokenizer cuts at them, so a word that holds one goes its whole way.
 _ODD = re.compile(r"\s")
 #: Normalized words of ASCII letters, and marks behind them (no apostrophe, which may begin a
@@ -135,7 +135,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_cache(("word ids", tokenizer), lambda: WordIds(tokenizer))
+        encoder = WordIds(tokenizer)
         for part in slices(batches, "text", 1024, 8 << 20):
             doc, piece, start, ids = [], [], [], []
             for d, encoded in zip(part.column("doc_id").to_pylist(),
