@@ -17,6 +17,9 @@ from revwise.llm.common import fresh, stage_table
 
 #: Below this posterior a language counts as not recognized.
 MIN_SCORE = 0.5
+#: The packing stage's tasks remember fewer words than the operator's default, because the
+#: Python workers also serve the stages before it and keep the memory they once had.
+CACHED_WORDS = 60_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: the token pieces of every row and their places in sequences of 4096."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=CACHED_WORDS)
 
 
 STAGES = [

@@ -42,7 +42,7 @@ PERMUTATIONS = BANDS * PER_BAND
 STAR_ROUNDS = 2
 CHUNK = 1 << 17
 #: Word hashes that one task remembers (about 100 bytes each).
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = (_rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1))[:, None]

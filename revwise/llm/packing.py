@@ -48,7 +48,7 @@ class WordIds:
     hold an added token take the tokenizer's whole way.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached: int = CACHED_WORDS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,6 +56,7 @@ class WordIds:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         ids = range(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.packed = [i.to_bytes(4, "little") for i in ids]
+        self.cached = cached
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -71,7 +72,7 @@ class WordIds:
     def _learn(self, words: list[str]) -> None:
         if not words:
             return
-        if len(self.pieces) > CACHED_WORDS:
+        if len(self.pieces) > self.cached:
             self.pieces.clear()
         normal = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
         if len(normal) != len(words):  # never seen: a normalizer that makes blanks
@@ -107,7 +108,7 @@ class WordIds:
         numbered = words.values.dictionary_encode()
         number = numbered.indices.to_numpy()
         used = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > CACHED_WORDS:  # frequent words are among those used now
+        if len(self.known) > self.cached:  # frequent words are among those used now
             self.known = {w: self.known[w] for w in used if w in self.known}
         if missing := [w for w in used if w not in self.known]:
             text = "".join(missing)
@@ -127,16 +128,18 @@ class WordIds:
         return [out[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
+                     cached_words: int = CACHED_WORDS) -> DataFrame:
     """(doc_id, piece, start, ids): each document's ids and ``end_id``, cut only if longer than ``capacity``.
 
     ``ids`` is binary, 32-bit little-endian.  A null or empty text is the end id alone.
+    ``cached_words`` bounds what a task remembers, and the text it takes at a time.
     """
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(tokenizer)
-        for part in slices(batches, "text", 1024, 8 << 20):
+        encoder = WordIds(tokenizer, cached_words)
+        for part in slices(batches, "text", 1024, 32 * cached_words):
             doc, piece, start, ids = [], [], [], []
             for d, encoded in zip(part.column("doc_id").to_pylist(),
                                   encoder.encode(part.column("text")), strict=True):
@@ -292,14 +295,15 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.select(*names, "number").mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
+         cached_words: int = CACHED_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of ``docs``.
 
     Only doc_id and text are read, so other columns may have any name.  A null doc_id is
     kept as null; a null or empty text is one piece of the end id alone; longer texts than
     ``capacity`` are cut.  ``sequences`` turns the result into token rows.
     """
-    pieces = tokenized_pieces(docs, tokenizer, capacity, end_id).select(
+    pieces = tokenized_pieces(docs, tokenizer, capacity, end_id, cached_words).select(
         "doc_id", "piece", "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
         F.crc32("ids").alias("ids_crc32"))
     return place(stage_table(pieces, "pieces"), capacity)
