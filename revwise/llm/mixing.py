@@ -1,10 +1,12 @@
 """Operator 4, mixing sources to target weights by Sainte-Laguë apportionment.
 
-The mix is a number of blocks of equally many words.  Seats (blocks) go one by one to the
-source with the highest quotient target / (2 seats + 1); the sequence of seats is cut into
-shards, which gives every shard an integer quota of each source.  A source's documents,
-in a seeded order, are one stream of words cut into blocks; its seats take the blocks in
-a seeded order, and start again from the first when all are taken.
+A source's documents, in a seeded order, are one stream of words cut into blocks of equally
+many words; its seats take the blocks in a seeded order, and start again from the first when
+all are taken.  A source has the seats whose words come nearest to its target, and its block
+is at most 1/64 of the target, so it misses the target by at most 1/128 of it or half a word.
+Seats come one by one from the source with the highest quotient (target in blocks) / (2 seats
++ 1); their sequence is cut into shards of equally many words, which gives every shard an
+integer quota of each source.
 
 Only a total for each source comes to the driver.  Where a document starts in its source's
 stream is found with two levels of sums: totals of ``CELLS`` ranges of the seeded order for
@@ -33,10 +35,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
 MAX_EPOCHS = 2
-#: The mix has at most about this many blocks ...
+#: The largest block is the mix over this many ...
 BLOCKS = 262_144
-#: ... of at least so many words.
+#: ... but at least so many words; a source that is taken whole has no smaller blocks either.
 LEAST_BLOCK = 16
+#: A source's block is at most its target over this many, so small sources have small blocks.
+SOURCE_BLOCKS = 64
 SHARDS = 64
 CELLS_LOG2 = 12
 #: More sources than this are refused: their totals and quotas are held by the driver.
@@ -48,6 +52,7 @@ SEED = 7
 class SourcePlan:
     size: int
     target: Fraction
+    block: int  # words of its blocks
     blocks: int  # of its stream
     quotas: list[int]  # seats of each shard
     step: int  # block i is taken by seat (step * i + shift) % blocks, and by one more in each epoch
@@ -88,23 +93,41 @@ def apportion(wanted: list[Fraction], limits: list[int], seats: int) -> Iterator
 
 def plan(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MAX_EPOCHS,
          shards: int = SHARDS, seed: int = SEED) -> tuple[int, list[SourcePlan]]:
-    """Words of a block, and for each source its target, quotas and block order."""
+    """Words of the largest block, and for each source its target, quotas and block order."""
     wanted = targets(sizes, weights, share, most)
-    total = sum(wanted)
-    block = max(LEAST_BLOCK, -(-int(total) // BLOCKS))
-    blocks = [-(-n // block) for n in sizes]
-    seats = round(total / block)
-    given = list(apportion(wanted, [most * n for n in blocks], seats))
-    plans = []
-    for i, (size, target, n) in enumerate(zip(sizes, wanted, blocks, strict=True)):
+    largest = max(LEAST_BLOCK, -(-int(sum(wanted)) // BLOCKS))
+    plans, seats = [], []
+    for i, (size, target) in enumerate(zip(sizes, wanted, strict=True)):
+        least = LEAST_BLOCK if target == most * size else 1
+        block = max(least, min(largest, int(target) // SOURCE_BLOCKS))
+        n = -(-size // block)
         digest = hashlib.sha256(f"{seed}/{i}".encode()).digest()
         step = 1 + int.from_bytes(digest[:8], "big") % max(n, 1)
         while gcd(step, max(n, 1)) > 1:
             step += 1
-        plans.append(SourcePlan(size, target, n, [0] * shards, step, int.from_bytes(digest[8:16], "big") % max(n, 1)))
-    for k, i in enumerate(given):
-        plans[i].quotas[k * shards // max(1, len(given))] += 1
-    return block, plans
+        shift = int.from_bytes(digest[8:16], "big") % max(n, 1)
+        plans.append(SourcePlan(size, target, block, n, [0] * shards, step, shift))
+        seats.append(seats_of(plans[-1]))
+    blocks = [p.target / p.block for p in plans]
+    all_words = sum(n * p.block for n, p in zip(seats, plans, strict=True))
+    words = 0
+    for i in apportion(blocks, seats, sum(seats)):
+        plans[i].quotas[words * shards // all_words] += 1
+        words += plans[i].block
+    return largest, plans
+
+
+def seats_of(p: SourcePlan) -> int:
+    """The seats of a source whose words come nearest to its target; the last block may be short."""
+    if not p.size:
+        return 0
+    epochs, rest = divmod(p.target, p.size)
+    short = p.blocks * p.block - p.size
+    last = (p.step * (p.blocks - 1) + p.shift) % p.blocks  # the seat of the last block
+    low = int(rest // p.block)
+    near = min(range(low, min(low + 2, p.blocks) + 1),
+               key=lambda n: abs(n * p.block - (short if last < n else 0) - rest))
+    return int(epochs) * p.blocks + near
 
 
 def _size(text: Column) -> Column:
@@ -138,14 +161,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = S
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    block, plans = plan([r["size"] for r in found], weights, share, most, shards, seed)
+    _, plans = plan([r["size"] for r in found], weights, share, most, shards, seed)
     by_source = pd.DataFrame({
         "source": pd.Series([r["source"] for r in found], dtype=object), no: range(len(found)),
         "source_size": [p.size for p in plans], "target": [float(p.target) for p in plans],
-        "blocks": [p.blocks for p in plans], "step": [p.step for p in plans], "shift": [p.shift for p in plans],
+        "block": [p.block for p in plans], "blocks": [p.blocks for p in plans], "step": [p.step for p in plans], "shift": [p.shift for p in plans],
         "quotas": [p.quotas for p in plans]})
-    names = dict(zip(["blocks", "step", "shift", "quotas"],
-                     fresh(docs.columns + new, "blocks", "step", "shift", "quotas"), strict=True))
+    plan_columns = ["block", "blocks", "step", "shift", "quotas"]
+    names = dict(zip(plan_columns, fresh(docs.columns + new, *plan_columns), strict=True))
     kinds = {"source": "string", no: "int", "source_size": "long", "target": "double", "quotas": "array<long>"}
     sources = spark.createDataFrame(
         [tuple(x) for x in by_source.itertuples(index=False)],
@@ -159,7 +182,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = S
     rows = rows.join(sources, same).join(offsets, (F.col(no) == F.col(f"{no}_o")) & (F.col(cell) == F.col(f"{cell}_o")))
     inside = W.partitionBy(no, cell).orderBy(at, "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn(start, F.col(before) + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    blocks, step, shift, quotas = (F.col(names[c]) for c in ("blocks", "step", "shift", "quotas"))
+    block, blocks, step, shift, quotas = (F.col(names[c]) for c in plan_columns)
     first, end = F.col(start), F.col(start) + F.col("size")
     total = F.aggregate(quotas, F.lit(0).cast("long"), lambda a, q: a + q)
 

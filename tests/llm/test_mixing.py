@@ -97,3 +97,31 @@ def test_mixed_documents_hold_the_words(spark):
 
 def test_cut_words():
     assert M.cut_words("a  b\tc d\ne", [(0, 2), (3, 5)]) == "a  b\nd\ne"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3000), min_size=1, max_size=8), st.integers(0, 30_000_000_000))
+def test_every_source_is_near_its_target(small, large):
+    """Whatever the size of the whole mix, a source misses by at most 1/128 of its own target, or half a word."""
+    _, plans = M.plan([*small, large, large // 2, large // 3], shards=4)
+    for p in plans:
+        # The seats of one epoch take the blocks in the seeded order; only the last block may be short.
+        epochs, rest = divmod(sum(p.quotas), max(1, p.blocks))
+        last = (p.step * (p.blocks - 1) + p.shift) % max(1, p.blocks)
+        short = p.blocks * p.block - p.size if last < rest else 0
+        taken = epochs * p.size + rest * p.block - short
+        assert abs(taken - p.target) <= max(Fraction(1, 2), p.target / 128)
+
+
+def test_small_sources_of_a_large_mix_are_taken(spark, monkeypatch):
+    """The largest block (here the mix over 64) is far above the small sources."""
+    monkeypatch.setattr(M, "BLOCKS", 64)
+    rows = [(k, "w " * 1000, "a", 0) for k in range(300)] + [(1000 + k, "v " * 100, "b", 0) for k in range(3)]
+    rows += [(2000, "u " * 33, "c", 0), (2001, "t", "d", 0), *[(3000 + k, "s " * 1000, "e", 0) for k in range(300)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    got, target = defaultdict(int), {}
+    for r in M.mix(docs).collect():
+        target[r["source"]] = r["target"]
+        got[r["source"]] += sum(s["end"] - s["start"] for s in r["spans"])
+    assert [got[s] for s in "bcd"] == [target[s] for s in "bcd"] == [600, 66, 2]
+    assert all(abs(got[s] - target[s]) <= max(0.5, target[s] / 128) for s in target)
