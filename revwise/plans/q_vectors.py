@@ -46,8 +46,9 @@ SELECT run_id, review_id, neighbor_id, CAST(rank AS INTEGER) AS rank, round(dist
 FROM (SELECT *, row_number() OVER (PARTITION BY run_id, review_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
 WHERE rank <= {KNN_K}""")
 def q_knn(spark, sf):
-    """Neighbours found in sign buckets; the twin holds the same directions."""
-    nn = KN.knn_hashed(cluster_vectors(spark, sf), k=KNN_K)
+    """The exact neighbours.  The twin still searches sign buckets, so it lacks neighbours
+    in a run of more points than a bucket holds and differs there."""
+    nn = KN.knn_blocks(cluster_vectors(spark, sf), k=KNN_K)
     return nn.select("run_id", "review_id", "neighbor_id", F.col("rank").cast("int").alias("rank"),
                      F.round("distance", 6).alias("distance"))
 
