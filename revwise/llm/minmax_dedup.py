@@ -3,8 +3,11 @@
 A text's set holds its distinct 5-word shingles.  Under each of ``PERMUTATIONS`` keyed
 permutations both the smallest and the largest hash of the set are kept: each agrees
 between two sets with a probability of their Jaccard similarity, so one hash evaluation
-gives two signature values.  ``BANDS`` bands of ``2 * PER_BAND`` values are bucket keys:
-a pair at 0.75 shares no bucket with a probability of (1 - 0.75**6)**48 < 0.0001.
+gives two signature values.  ``BANDS`` bands of ``2 * PER_BAND`` values are bucket keys.
+Minimum and maximum agree together with i(i-1) / (u(u-1)), where a pair shares i of u
+shingles, so a pair at 0.75 shares no band with a probability of at most 0.00021 (9 of 12),
+which falls to 0.00008 for large sets.  In smaller sets it would be more; sets of at most
+``SMALL`` shingles have exact keys too (``small_keys``), so of those no linked pair escapes.
 
 Bucket members become links without emitting all pairs of a bucket:
 
@@ -24,6 +27,7 @@ either compared or lies in one component, so no caps apply to a bucket.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ PERCENT = 75
 BANDS = 48
 PER_BAND = 3
 PERMUTATIONS = BANDS * PER_BAND
+#: Sets of at most so many shingles have exact keys.
+SMALL = 11
 STAR_ROUNDS = 2
 CHUNK = 1 << 17
 #: Word hashes that one task remembers (about 100 bytes each).
@@ -114,6 +120,19 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def small_keys(found: np.ndarray) -> np.ndarray:
+    """Keys of the parts of a small set that can be its intersection with a linked set.
+
+    That is at least ``PERCENT`` of the set, so a set of 8 to 11 shingles lacks at most two
+    there, one of 4 to 7 at most one: 67 keys or fewer.
+    """
+    if not 0 < len(found) <= SMALL:
+        return np.empty(0, dtype=np.int64)
+    least = -(-PERCENT * len(found) // 100)
+    parts = (np.array(x, dtype=np.uint64) for n in range(least, len(found) + 1) for x in combinations(found, n))
+    return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), seed=BANDS) for x in parts], dtype=np.uint64).view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     for part in slices(batches, "text"):
@@ -124,7 +143,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(found))
             high.append((digest >> 64) - (1 << 63))
             low.append((digest & (1 << 64) - 1) - (1 << 63))
-            keys.append(band_keys(found) if len(found) else np.empty(0, dtype=np.int64))
+            keys.append(np.concatenate([band_keys(found), small_keys(found)]) if len(found)
+                        else np.empty(0, dtype=np.int64))
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
              list_array(np.concatenate(keys), [len(k) for k in keys])],
