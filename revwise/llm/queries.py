@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revwise.llm import (chat_format, collision_ann, edit_counts, feistel_pii, langid, minmax_dedup, mixing, packing,
-                         pivot_topk, ring_sharding)
+from revwise.llm import (chat_format, collision_ann, edit_counts, feistel_pii, harmonic_packing, langid, minmax_dedup,
+                         mixing, packing, pivot_topk, ring_sharding)
 from revwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,11 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(EDITS).alias("edits"))
     out = edit_counts.count_edited(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", *edit_counts.COLUMNS, F.crc32("text").alias("text_crc32"))
+
+
+@query("op13_harmonic_packing")
+def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of at most 2048 tokens."""
+    packed = harmonic_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
