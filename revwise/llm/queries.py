@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revwise.llm import (chat_format, collision_ann, edit_counts, feistel_pii, harmonic_packing, langid, minmax_dedup,
-                         mixing, packing, pivot_topk, ring_sharding)
+                         mixing, packing, pivot_topk, ring_sharding, token_alignment)
 from revwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,11 @@ def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = harmonic_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                          "offset")
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's byte-level tokens aligned with its sentencepiece tokens, and corpus counts of their links."""
+    out = token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

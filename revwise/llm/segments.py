@@ -1,7 +1,7 @@
 """Texts as runs of few different segments, so that tokenizers see each segment once.
 
 A text is cut in front of a blank (U+0020) that follows a character which is neither white
-space nor U+2581.  A tokenizer whose pieces never hold such a place inside (a blank only
+space nor U+2581 and that isn't the text's end.  A tokenizer whose pieces never hold such a place inside (a blank only
 at their front, or as part of white space) gives a text the tokens of its segments,
 one after the other, wherever the segments occur.
 """
@@ -43,6 +43,10 @@ def cut(texts: pa.Array, blank_first: bool = False) -> Cut:
     front[starts[:-1]] = True
     begins = front.copy()
     begins[1:] |= ~open_end[number[:-1]]
+    # A blank at the end is no segment of its own: a model that adds a blank sees nothing there.
+    empty = np.fromiter((not w for w in words), dtype=bool, count=len(words))
+    ends = starts[1:] - 1
+    begins[ends] &= ~empty[number[ends]] | front[ends]
     if blank_first:
         front[:] = False
     # Segments of one word: the word's number, words without a blank in front counted apart.
