@@ -38,13 +38,15 @@ def cut(texts: pa.Array, blank_first: bool = False) -> Cut:
     words = coded.dictionary.to_pylist()
     number = coded.indices.to_numpy().astype(np.int64)
     # A word that is empty or ends in white space keeps the next word in its segment.
-    open_end = np.fromiter((not w or w[-1].isspace() or w[-1] in _MORE for w in words), dtype=bool, count=len(words))
+    last = pc.utf8_slice_codeunits(coded.dictionary, start=-1, stop=None).dictionary_encode()
+    blank = np.asarray([not c or c.isspace() or c in _MORE for c in last.dictionary.to_pylist()], dtype=bool)
+    open_end = blank[last.indices.to_numpy()]
     front = np.zeros(len(number), dtype=bool)
     front[starts[:-1]] = True
     begins = front.copy()
     begins[1:] |= ~open_end[number[:-1]]
     # A blank at the end is no segment of its own: a model that adds a blank sees nothing there.
-    empty = np.fromiter((not w for w in words), dtype=bool, count=len(words))
+    empty = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
     ends = starts[1:] - 1
     begins[ends] &= ~empty[number[ends]] | front[ends]
     if blank_first:
@@ -73,3 +75,13 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     ends = np.cumsum(count)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) + np.repeat(first - (ends - count), count)
+
+
+def byte_level_bytes() -> dict[str, int]:
+    """Byte of each character that stands for it in byte-level vocabularies.
+
+    Printable bytes of Latin-1 stand for themselves; all others, in order, for U+0100 and up.
+    """
+    printable = {b for b in range(256) if chr(b).isprintable() and b != 0x20}
+    others = (b for b in range(256) if b not in printable)
+    return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(others)}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revwise.llm.common import list_array, slices, stage_table
-from revwise.llm.segments import Cut, cut, spread
+from revwise.llm.segments import Cut, byte_level_bytes, cut, spread
 
 #: Segments whose alignment a task remembers (about 400 bytes each).
 CACHED = 200_000
@@ -41,16 +41,6 @@ PAIRS_IN_MEMORY = 2_000_000
 LISTED = 4096
 
 
-def _byte_level_bytes() -> dict[str, int]:
-    """Byte of each character that stands for it in byte-level vocabularies.
-
-    Printable bytes of Latin-1 stand for themselves; all others, in order, for U+0100 and up.
-    """
-    printable = {b for b in range(256) if chr(b).isprintable() and b != 0x20}
-    others = (b for b in range(256) if b not in printable)
-    return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(others)}
-
-
 class Aligner:
     """Alignments of segments under two tokenizers, remembered up to ``cached`` of them."""
 
@@ -63,7 +53,7 @@ class Aligner:
         self.first = Tokenizer.from_file(byte_level)
         self.first.encode_special_tokens = True
         self.second = SentencePieceProcessor(model_file=pieces)
-        code = _byte_level_bytes()
+        code = byte_level_bytes()
         vocabulary = self.first.get_vocab(with_added_tokens=True)
         self.first_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():

@@ -111,6 +111,24 @@ def test_segments_give_the_whole_text():
             assert ids == tokenizer.encode(whole, add_special_tokens=False).ids
 
 
+def test_ids_are_those_of_the_tokenizer():
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    names = cut(texts).names
+    rng = random.Random(2)
+    marks = [chr(c) for c in (*range(0x20, 0x7F), *range(0xA0, 0x180))] + ["\n", "'s", "'ll", " the", "ing", "tion", "\x85"]
+    names += ["".join(rng.choices(marks, k=rng.randint(1, 9))) for _ in range(20_000)]
+    encoder = K.SegmentIds(PATH, cached=10**7)
+    assert encoder.merge
+    encoder._learn(names)
+    assert sum(K._PLAIN.fullmatch(s) is not None for s in names) > len(names) // 2
+    for s, e in zip(names, encoder.tokenizer.encode_batch(names, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encoder.known[s], dtype="<u4").tolist() == e.ids, s
+    ids, ends = encoder.encode(pa.array(["a b", None, "<|endoftext|> x"]), 1)
+    assert ids[:3].tolist() == [64, 275, 1] and ends.tolist() == [3, 4, len(ids)]
+
+
 def test_query_packs_all_documents(spark):
     from revwise.llm.queries import QUERIES
     sf = "/root/testdata/sf0.001"
