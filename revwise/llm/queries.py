@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revwise.llm import (chat_format, collision_ann, edit_counts, feistel_pii, harmonic_packing, langid, minmax_dedup,
-                         mixing, packing, pivot_topk, ring_sharding, token_alignment)
+from revwise.llm import (chat_format, collision_ann, collocations, edit_counts, feistel_pii, harmonic_packing, langid,
+                         minmax_dedup, mixing, packing, pivot_topk, ring_sharding, token_alignment)
 from revwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,38 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                 public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_collocations", r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM p),
+g AS (
+  SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM w, (VALUES (1), (2), (3), (4)) AS s(k) WHERE len(w) >= k)),
+f AS (SELECT lang, words, phrase, count(*) AS n FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(n) AS total FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE words > 1 AND n >= 30),
+q AS (
+  SELECT c.lang, c.words, c.phrase, c.a, k, x.n AS l, y.n AS r, 2000000::HUGEINT * c.a // (x.n + y.n)::HUGEINT AS score
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.words = k AND x.phrase = array_to_string(w[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.words = c.words - k AND y.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM q) WHERE o = 1),
+d AS (
+  SELECT DISTINCT e.lang, e.part AS phrase
+  FROM (SELECT lang, a, words, m, array_to_string(w[i:i + m - 1], ' ') AS part
+        FROM (SELECT *, unnest(range(1, words - m + 2)) AS i FROM c, (VALUES (2), (3)) AS s(m) WHERE m < words)) e
+  JOIN c ON c.lang = e.lang AND c.phrase = e.part AND c.words = e.m AND 100 * e.a >= 80 * c.a),
+o AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN d ON d.lang = b.lang AND d.phrase = b.phrase WHERE d.phrase IS NULL)
+SELECT o.lang, CAST(rank AS BIGINT) AS rank, o.phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+  CAST(total AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two to four words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
