@@ -23,3 +23,15 @@ OWN = [k for k in E.queries() if k.startswith("q_")]
 @pytest.mark.parametrize("name", OWN)
 def test_query_runs_at_smoke_scale(spark, name):
     E.queries()[name](spark, SF).write.format("noop").mode("overwrite").save()
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "revwise.llm", "corpus_pipeline"])
+def test_other_queries_stay_without_the_optional_part(monkeypatch, missing):
+    """A dependency of the optional part that can't be imported costs that part alone."""
+    import sys
+    for name in [m for m in sys.modules if m == missing or m.startswith(missing + ".") or m == "revwise.llm.queries"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    found = E.queries()
+    assert sorted(k for k in found if k.startswith("q_")) == sorted(OWN) and "pipeline" not in found
+    assert set(E.oracle_sql()) <= set(found)
