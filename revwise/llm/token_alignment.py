@@ -22,25 +22,63 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revwise.llm.common import list_array, slices, stage_table
 from revwise.llm.segments import Cut, byte_level_bytes, cut, spread
 
-#: Segments whose alignment a task remembers (about 400 bytes each).
+#: Segments whose alignment a task remembers (about 300 bytes each).
 CACHED = 200_000
 #: Text taken at a time.
 SLICE = 4 << 20
 #: Id pairs (of a count above one) up to this number are broadcast, 16 bytes each.
 PAIRS_IN_MEMORY = 2_000_000
+#: Segments that both tokenizers encode at a time.
+LEARNED = 1 << 13
 #: Pairs of one group that are listed; larger groups are counted by their different ids.
 LISTED = 4096
 
 
+def list_array_of(values: pa.Array, lengths: np.ndarray) -> pa.ListArray:
+    offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+@dataclass
+class Aligned:
+    """Alignments of segments, a row each.
+
+    ``counts``: whether both sides give the segment back, tokens of both, groups, links;
+    ``groups``: the groups as text; ``n_pairs``: how many of ``pair`` (id pairs, in the
+    segments' order; they may repeat) are the row's, each with ``weight`` links.
+    """
+
+    counts: np.ndarray
+    groups: pa.Array
+    n_pairs: np.ndarray
+    pair: np.ndarray
+    weight: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Aligned:
+        at = spread((np.cumsum(self.n_pairs) - self.n_pairs)[rows], self.n_pairs[rows])
+        return Aligned(self.counts[rows], self.groups.take(pa.array(rows)), self.n_pairs[rows], self.pair[at], self.weight[at])
+
+    @staticmethod
+    def join(parts: list[Aligned]) -> Aligned:
+        if len(parts) == 1:
+            return parts[0]
+        return Aligned(np.concatenate([p.counts for p in parts]), pa.concat_arrays([p.groups for p in parts]),
+                       *(np.concatenate([getattr(p, c) for p in parts]) for c in ("n_pairs", "pair", "weight")))
+
+
 class Aligner:
     """Alignments of segments under two tokenizers, remembered up to ``cached`` of them."""
 
@@ -71,7 +109,8 @@ class Aligner:
         self.cuttable = (rules.name == "identity" and rules.add_dummy_prefix and not rules.remove_extra_whitespaces
                          and not any("▁" in p.lstrip("▁") for p in names))
         self.cached = cached
-        self.known: dict[str, tuple] = {}
+        self.row: dict[str, int] = {}
+        self.known = Aligned(np.zeros((0, 5), np.int64), pa.array([], pa.string()), *np.zeros((3, 0), np.int64))
 
     def cut(self, texts: pa.Array) -> Cut:
         if self.cuttable:
@@ -98,8 +137,9 @@ class Aligner:
                 ([e.ids for e in a], [e.offsets for e in a], 0, self.first_length, self.first_bytes),
                 ([e["ids"] for e in b], [e["offsets"] for e in b], 1, self.second_length, self.second_bytes)):
             count = np.fromiter(map(len, ids_of), dtype=np.int64, count=len(names))
-            ids = np.asarray([i for x in ids_of for i in x], dtype=np.int64)
-            spans = np.asarray([s for x in spans_of for s in x], dtype=np.int64).reshape(-1, 2)
+            ids = np.fromiter(chain.from_iterable(ids_of), dtype=np.int64, count=count.sum())
+            spans = np.fromiter(chain.from_iterable(chain.from_iterable(spans_of)), dtype=np.int64,
+                                count=2 * count.sum()).reshape(-1, 2)
             of = np.repeat(np.arange(len(names)), count)
             coarse = byte_at[char_first[of] + spans[:, 1] + blank]
             lengths = size[ids]
@@ -119,15 +159,13 @@ class Aligner:
             out += [ids, count, np.where(shared, fine, coarse)]
         return (*out, last_byte, good)
 
-    def learn(self, names: list[str]) -> None:
-        """Remember (good, tokens of both, groups, links, groups as text, id pairs with their links)."""
-        if not names:
-            return
+    def learn(self, names: list[str]) -> Aligned:
+        """Alignments of ``names``, each on its own."""
         ids_a, count_a, end_a, ids_b, count_b, end_b, last, good = self.ends(names)
-        of_a, of_b = np.repeat(np.arange(len(names)), count_a), np.repeat(np.arange(len(names)), count_b)
-        keep_a, keep_b = good[of_a], good[of_b]
-        ids_a, end_a, ids_b, end_b = ids_a[keep_a], end_a[keep_a], ids_b[keep_b], end_b[keep_b]
-        common = np.intersect1d(end_a, end_b)
+        if not good.all():
+            keep_a, keep_b = np.repeat(good, count_a), np.repeat(good, count_b)
+            ids_a, end_a, ids_b, end_b = ids_a[keep_a], end_a[keep_a], ids_b[keep_b], end_b[keep_b]
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
         owner = np.searchsorted(last, common)
         group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
         in_a, in_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
@@ -139,50 +177,55 @@ class Aligner:
         times = in_b[group_a[rows]]
         left = np.repeat(rows, times)
         right = spread(first_b[group_a[rows]], times)
-        pairs = [np.stack([owner[group_a[left]], self.pair(ids_a[left], ids_b[right]), np.ones(len(left), np.int64)])]
-        for g in np.flatnonzero(~few).tolist():
-            x, nx = np.unique(ids_a[first_a[g]:first_a[g] + in_a[g]], return_counts=True)
-            y, ny = np.unique(ids_b[first_b[g]:first_b[g] + in_b[g]], return_counts=True)
-            pairs.append(np.stack([np.full(len(x) * len(y), owner[g]), self.pair(np.repeat(x, len(y)), np.tile(y, len(x))),
-                                   np.repeat(nx, len(y)) * np.tile(ny, len(x))]))
-        of, pair, weight = sum_by(*np.concatenate(pairs, axis=1))
-        n_pairs = np.bincount(of, minlength=len(names))
-        packed = np.stack([pair, weight], axis=1).astype("<i8").tobytes()
-        pair_at = 16 * np.append(0, np.cumsum(n_pairs))
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        written = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in zip(
-            first_a.tolist(), (first_a + in_a).tolist(), first_b.tolist(), (first_b + in_b).tolist(), strict=True)]
+        of, pair, weight = owner[group_a[left]], self.pair(ids_a[left], ids_b[right]), np.ones(len(left), np.int64)
+        if not few.all():
+            listed = [np.stack([of, pair, weight])]
+            for g in np.flatnonzero(~few).tolist():
+                x, nx = np.unique(ids_a[first_a[g]:first_a[g] + in_a[g]], return_counts=True)
+                y, ny = np.unique(ids_b[first_b[g]:first_b[g] + in_b[g]], return_counts=True)
+                listed.append(np.stack([np.full(len(x) * len(y), owner[g]),
+                                        self.pair(np.repeat(x, len(y)), np.tile(y, len(x))), np.outer(nx, ny).ravel()]))
+            of, pair, weight = np.concatenate(listed, axis=1)
+            order = np.argsort(of, kind="stable")
+            of, pair, weight = of[order], pair[order], weight[order]
+        side_a, side_b = (pc.binary_join(list_array_of(pa.array(ids).cast(pa.string()), count), ",")
+                          for ids, count in ((ids_a, in_a), (ids_b, in_b)))
         n_groups = np.bincount(owner, minlength=len(names))
-        group_at = np.append(0, np.cumsum(n_groups)).tolist()
-        n_links = np.bincount(owner, links, len(names)).astype(np.int64)
-        for k, (name, *numbers, i, j) in enumerate(zip(
-                names, good.tolist(), count_a.tolist(), count_b.tolist(), n_groups.tolist(), n_links.tolist(),
-                pair_at[:-1].tolist(), pair_at[1:].tolist(), strict=True)):
-            self.known[name] = (*numbers, ";".join(written[group_at[k]:group_at[k + 1]]).encode(), packed[i:j])
+        written = pc.binary_join(list_array_of(pc.binary_join_element_wise(side_a, side_b, "|"), n_groups), ";")
+        counts = np.stack([good, count_a, count_b, n_groups,
+                           np.bincount(owner, links, len(names)).astype(np.int64)], axis=1)
+        return Aligned(counts, written, np.bincount(of, minlength=len(names)), pair, weight)
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return a * len(self.second_bytes) + b
 
-    def segments(self, texts: pa.Array) -> tuple[Cut, list[tuple]]:
-        """The texts' segments, and what is known of each different one."""
+    def segments(self, texts: pa.Array) -> tuple[Cut, np.ndarray]:
+        """The texts' segments, and the row of ``known`` of each different one."""
         found = self.cut(texts)
-        if len(self.known) > self.cached:  # frequent segments are among those used now
-            self.known = {s: self.known[s] for s in found.names if s in self.known}
-        self.learn([s for s in found.names if s not in self.known])
-        return found, [self.known[s] for s in found.names]
-
-
-def sum_by(of: np.ndarray, key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different (of, key) in order, with the sums of their weights."""
-    keys, place = np.unique(key, return_inverse=True)
-    both = of * np.int64(len(keys)) + place
+        if len(self.row) > self.cached:  # frequent segments are among those used now
+            kept = [s for s in found.names if s in self.row]
+            self.known = self.known.take(np.asarray([self.row[s] for s in kept], dtype=np.int64))
+            self.row = {s: k for k, s in enumerate(kept)}
+        new = [s for s in found.names if s not in self.row]
+        parts = [self.known]
+        for at in range(0, len(new), LEARNED):  # few at a time: an encoding holds far more than its ids
+            part = new[at:at + LEARNED]
+            parts.append(self.learn(part))
+            self.row.update(zip(part, range(len(self.row), len(self.row) + len(part)), strict=True))
+        self.known = Aligned.join(parts)
+        return found, np.fromiter((self.row[s] for s in found.names), dtype=np.int64, count=len(found.names))
+
+
+def sum_by(of: np.ndarray, key: np.ndarray, n_keys: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (of, key) in order, with the sums of their weights; keys are below ``n_keys``."""
+    both = of * np.int64(n_keys) + key
     order = np.argsort(both, kind="stable")
     both = both[order]
     begins = np.flatnonzero(np.diff(both, prepend=-1))
     if not len(begins):
         return of[:0], key[:0], weight[:0]
     both = both[begins]
-    return both // len(keys), keys[both % len(keys)], np.add.reduceat(weight[order], begins)
+    return both // n_keys, both % n_keys, np.add.reduceat(weight[order], begins)
 
 
 _ALIGNED = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -197,24 +240,23 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str, cached: int = CACHED)
         aligner = Aligner(byte_level, pieces, cached)
         for part in slices(batches, "text", 1 << 14, SLICE):
             texts = part.column("text")
-            found, known = aligner.segments(texts)
+            found, rows = aligner.segments(texts)
+            known = aligner.known.take(rows)
             numbers, starts = found.numbers, found.starts
-            counts = np.asarray([k[:5] for k in known], dtype=np.int64)
-            filled = np.asarray([bool(t) for t in texts.to_pylist()], dtype=bool)
-            filled &= np.minimum.reduceat(counts[numbers, 0], starts[:-1]) == 1
-            sums = [np.where(filled, np.add.reduceat(counts[numbers, c], starts[:-1]), 0) for c in range(1, 5)]
-            digests = []
-            for ok, i, j in zip(filled.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                whole = b";".join([known[k][5] for k in numbers[i:j].tolist()]) if ok else b""
-                digests.append(hashlib.sha256(whole).hexdigest() if ok else "")
-            table = np.frombuffer(b"".join([k[6] for k in known]), dtype="<i8").reshape(-1, 2)
-            n_pairs = np.fromiter((len(k[6]) for k in known), dtype=np.int64, count=len(known)) // 16
-            first = np.cumsum(n_pairs) - n_pairs
+            filled = pc.fill_null(pc.not_equal(texts, ""), False).to_numpy(zero_copy_only=False)
+            filled &= np.minimum.reduceat(known.counts[numbers, 0], starts[:-1]) == 1
+            sums = [np.where(filled, np.add.reduceat(known.counts[numbers, c], starts[:-1]), 0) for c in range(1, 5)]
+            written = pc.binary_join(list_array_of(known.groups.take(pa.array(numbers)), np.diff(starts)), ";")
+            digests = [hashlib.sha256(w).hexdigest() if ok else ""
+                       for ok, w in zip(filled.tolist(), written.cast(pa.binary()).to_pylist(), strict=True)]
+            pairs, place = np.unique(known.pair, return_inverse=True)
+            first = np.cumsum(known.n_pairs) - known.n_pairs
             doc = np.repeat(np.arange(len(filled)), np.diff(starts))
             use = filled[doc]
             numbers, doc = numbers[use], doc[use]
-            at = spread(first[numbers], n_pairs[numbers])
-            of, pair, weight = sum_by(np.repeat(doc, n_pairs[numbers]), table[at, 0], table[at, 1])
+            at = spread(first[numbers], known.n_pairs[numbers])
+            of, pair, weight = sum_by(np.repeat(doc, known.n_pairs[numbers]), place[at], max(1, len(pairs)), known.weight[at])
+            pair = pairs[pair]
             each = np.bincount(of, minlength=len(filled))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), *map(pa.array, sums), pa.array(digests, pa.string()),
@@ -234,14 +276,16 @@ def groups(docs: DataFrame, byte_level: str, pieces: str, cached: int = CACHED)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(byte_level, pieces, cached)
         for part in slices(batches, "text", 1 << 10, SLICE // 8):
-            found, known = aligner.segments(part.column("text"))
+            found, rows = aligner.segments(part.column("text"))
+            known = aligner.known.take(rows)
+            good, texts = known.counts[:, 0].tolist(), known.groups.to_pylist()
             docs_, group, start, end, a, b = [], [], [], [], [], []
             for row, (d, t) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)):
-                mine = [known[k] for k in found.numbers[found.starts[row]:found.starts[row + 1]].tolist()]
-                if not t or not all(k[0] for k in mine):
+                mine = found.numbers[found.starts[row]:found.starts[row + 1]].tolist()
+                if not t or not all(good[k] for k in mine):
                     continue
                 at = 0
-                for k, text in enumerate(x for m in mine for x in m[5].decode().split(";")):
+                for k, text in enumerate(x for m in mine for x in texts[m].split(";")):
                     left, right = ([int(i) for i in side.split(",")] for side in text.split("|"))
                     docs_.append(d)
                     group.append(k)

@@ -5,6 +5,7 @@ import random
 from bisect import bisect_right
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from sentencepiece import SentencePieceProcessor
@@ -113,15 +114,21 @@ def test_edges(spark):
     assert K.align(rows.where("text is null"), FIRST, SECOND, pairs_in_memory=-1).count() == 2
 
 
-def test_large_groups_are_counted_not_listed(spark, monkeypatch):
-    docs = [(1, "=-" * 40 + "ꙮ" * 30), (2, "aaaaaaa" * 9)]
-    aligner = K.Aligner(FIRST, SECOND)
-    found, known = aligner.segments(__import__("pyarrow").array([t for _, t in docs]))
-    before = [known[k] for k in found.numbers]
-    monkeypatch.setattr(K, "LISTED", 0)
-    aligner = K.Aligner(FIRST, SECOND)
-    found, known = aligner.segments(__import__("pyarrow").array([t for _, t in docs]))
-    assert [known[k] for k in found.numbers] == before
+def test_large_groups_are_counted_not_listed(monkeypatch):
+    import pyarrow as pa
+    texts = pa.array(["=-" * 40 + "ꙮ" * 30, "aaaaaaa" * 9, "one two"])
+    found = []
+    for listed in (K.LISTED, 0):
+        monkeypatch.setattr(K, "LISTED", listed)
+        aligner = K.Aligner(FIRST, SECOND)
+        cut, rows = aligner.segments(texts)
+        known = aligner.known.take(rows)
+        of = np.repeat(np.arange(len(rows)), known.n_pairs)
+        links = Counter()
+        for k, p, n in zip(of.tolist(), known.pair.tolist(), known.weight.tolist()):
+            links[cut.names[k], p] += n
+        found.append((links, known.counts.tolist(), known.groups.to_pylist()))
+    assert found[0] == found[1]
 
 
 def test_whole_texts_where_segments_are_not_allowed():
@@ -132,8 +139,9 @@ def test_whole_texts_where_segments_are_not_allowed():
     totals = []
     for cuttable in (True, False):
         aligner.cuttable = cuttable
-        found, known = aligner.segments(pa.array(texts))
-        totals.append([[k[:5] for k in (known[n] for n in found.numbers[i:j])] for i, j in zip(found.starts[:-1], found.starts[1:])])
+        found, rows = aligner.segments(pa.array(texts))
+        counts = aligner.known.counts[rows]
+        totals.append([[counts[n].tolist() for n in found.numbers[i:j]] for i, j in zip(found.starts[:-1], found.starts[1:])])
     for parts, (whole,) in zip(*totals):
         assert all(p[0] for p in parts) == whole[0]
         if whole[0]:
