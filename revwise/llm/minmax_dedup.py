@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revwise.llm.common import connected_components, list_array, semi_by_ids, slices, stage_table
+from revwise.llm.common import BROADCAST_IDS, connected_components, list_array, semi_by_ids, slices, stage_table
 
 SHINGLE = 5
 #: A pair is linked if 100 * intersection >= PERCENT * union.
@@ -133,22 +133,27 @@ def small_keys(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), seed=BANDS) for x in parts], dtype=np.uint64).view(np.int64)
 
 
+def _digest(found: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit digest as two longs."""
+    digest = xxhash.xxh3_128_intdigest(found.tobytes())
+    return (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     for part in slices(batches, "text"):
-        sizes, high, low, keys = [], [], [], []
+        sizes, digests, keys = [], [], []
         for t in part.column("text").to_pylist():
             found = shingle_set(t, words)
-            digest = xxhash.xxh3_128_intdigest(found.tobytes())
             sizes.append(len(found))
-            high.append((digest >> 64) - (1 << 63))
-            low.append((digest & (1 << 64) - 1) - (1 << 63))
+            digests.append(_digest(found))
             keys.append(np.concatenate([band_keys(found), small_keys(found)]) if len(found)
                         else np.empty(0, dtype=np.int64))
+        high, low = zip(*digests, strict=True)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
-             list_array(np.concatenate(keys), [len(k) for k in keys])],
-            ["doc_id", "n_shingles", "h1", "h2", "bands"])
+            [part.column("doc_id"), part.column("text_key"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()),
+             pa.array(low, pa.int64()), list_array(np.concatenate(keys), [len(k) for k in keys])],
+            ["doc_id", "text_key", "n_shingles", "h1", "h2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +161,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         found = [shingle_set(t, words) for t in part.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), list_array(np.concatenate(found).view(np.int64), [len(x) for x in found])],
-            ["doc_id", "shingles"])
+            [part.column("id"), list_array(np.concatenate(found).view(np.int64), [len(x) for x in found])],
+            ["id", "shingles"])
 
 
 def _confirm(percent: int):
@@ -204,15 +209,23 @@ def _pairs(left: DataFrame, first: DataFrame, percent: int) -> DataFrame:
             .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
 
 
-def _compare(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _whole_sets(texts: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of the vertices ``ids`` (id), from the text that stands for each."""
+    rows = stage_table(reps.join(ids, "id", "left_semi").select(F.col("rep").alias("doc_id"), "text_key", "id"), "ends")
+    n = rows.count()
+    mine = semi_by_ids(texts, "doc_id", rows.select("doc_id").distinct(), n)
+    small = F.broadcast(rows) if n <= BROADCAST_IDS else rows
+    return (mine.withColumn("text_key", F.xxhash64("text")).join(small, ["doc_id", "text_key"])
+            .select("id", "text").mapInArrow(_sets, "id long, shingles array<long>"))
+
+
+def _compare(texts: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked) for each pair, from the whole sets of its texts."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ends = stage_table(ends, "ends")
-    sets = stage_table(semi_by_ids(texts, "doc_id", ends, ends.count())
-                       .mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
+    sets = stage_table(_whole_sets(texts, reps, ends), "sets")
     return stage_table(
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
         .select("a", "b", "left", "right")
         .mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "compared")
 
@@ -253,7 +266,7 @@ def _linked_chunks(percent: int):
     return run
 
 
-def _chunk_links(texts: DataFrame, left: DataFrame, first_hub: DataFrame, percent: int) -> DataFrame:
+def _chunk_links(texts: DataFrame, reps: DataFrame, left: DataFrame, first_hub: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join the components of undecided buckets."""
     hub = first_hub.select("bucket", F.col("id").alias("hub"))
     rows = stage_table(left.where(F.col("n") > STAR_ROUNDS + 1).join(hub, "bucket")
@@ -264,32 +277,38 @@ def _chunk_links(texts: DataFrame, left: DataFrame, first_hub: DataFrame, percen
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .select("hub", "id", "comp", "own", F.least("own", "other").alias("first"),
                      F.greatest("own", "other").alias("second")))
-    ids = stage_table(rows.select("id").distinct(), "ids")
-    sets = (semi_by_ids(texts, "doc_id", ids, ids.count())
-            .mapInArrow(_sets, "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "id"))
+    sets = _whole_sets(texts, reps, rows.select("id").distinct())
     return stage_table(dealt.join(sets, "id").groupBy("hub", "first", "second").applyInArrow(
         _linked_chunks(percent), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, text_key: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, ...).
 
     Links are pairs whose whole shingle sets reach ``percent``; component_id is the
     smallest doc_id reachable over links, itself included, and kept marks that document.
     Empty texts, null texts and texts of blanks have no shingle and are their own
-    component; texts with equal sets are always linked.  Rows that repeat a doc_id are
-    answered row by row (rows with equal texts equally).  A null doc_id takes part in no
-    link; its component_id is null and it is kept.  Only doc_id and text are read, so
-    other columns may have any name; an empty table gives an empty result.
+    component; texts with equal sets are always linked.  Links are between texts, not
+    ids: rows that repeat a doc_id are answered row by row, each by its own text (rows with
+    equal texts equally).  A null doc_id takes part in no link; its component_id is null and
+    it is kept.  Only doc_id and text are read, so other columns may have any name; an empty
+    table gives an empty result.  ``text_key`` adds xxhash64 of the text, which tells the
+    rows of one doc_id apart.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = stage_table(
-        texts.mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch")
+        texts.withColumn("text_key", F.xxhash64("text"))
+        .mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch")
     linkable = sketch.where("doc_id is not null and n_shingles > 0")
-    # A table, so that the join of all copies with it below can split a very large group of copies.
-    reps = stage_table(linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "reps")
-    vertices = (linkable.join(reps.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
-                .select(F.col("doc_id").alias("id"), "n_shingles", "bands"))
+    # A vertex for each different set, under a number of its own.  A table, so that the join of
+    # all copies with it below can split a very large group of copies.
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    reps = stage_table(linkable.groupBy("h1", "h2").agg(first)
+                       .select("h1", "h2", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("text_key"),
+                               F.monotonically_increasing_id().alias("id")), "reps")
+    vertices = (linkable.join(reps.select(F.col("rep").alias("doc_id"), "text_key", "h1", "h2", "id"),
+                              ["doc_id", "text_key", "h1", "h2"])
+                .select("id", "n_shingles", "bands"))
     rows = vertices.select("id", "n_shingles", F.explode("bands").alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stage_table(rows.join(crowded, "bucket").dropDuplicates(["bucket", "id"]), "members")
@@ -300,7 +319,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     left = members.withColumn("comp", F.col("id"))
     first_hub = used = stage_table(_hubs(left, None), "hub")
     pairs = stage_table(_pairs(left, left.join(first_hub, ["bucket", "id"]), percent), "pairs")
-    compared = _compare(texts, pairs, percent)
+    compared = _compare(texts, reps, pairs, percent)
     label = connected_components(compared.where("linked").select("a", "b"), "near")
     for _ in range(1, STAR_ROUNDS):
         left = stage_table(_undecided(members, label), "undecided")
@@ -308,15 +327,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         used = used.union(hub)
         pairs = _pairs(left, left.join(hub, ["bucket", "id"]), percent)
         pairs = stage_table(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        compared = compared.union(_compare(texts, pairs, percent))
+        compared = compared.union(_compare(texts, reps, pairs, percent))
         label = connected_components(compared.where("linked").select("a", "b"), "near")
-    more = _chunk_links(texts, _undecided(members, label), first_hub, percent)
+    more = _chunk_links(texts, reps, _undecided(members, label), first_hub, percent)
     if not more.isEmpty():
         label = connected_components(compared.where("linked").select("a", "b").union(more), "near")
 
-    answer = sketch.select("doc_id", "n_shingles", "h1", "h2").join(reps, ["h1", "h2"], "left")
-    answer = answer.withColumn("rep", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("rep")))
-    answer = answer.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return (answer.withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
-            .select("doc_id", "n_shingles", "component_id",
-                    F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+    smallest = label.join(reps.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("smallest"))
+    named = (reps.join(label.join(smallest, "component").select("id", "smallest"), "id", "left")
+             .select("h1", "h2", F.coalesce("smallest", "rep").alias("component")))
+    answer = sketch.select("doc_id", "text_key", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    answer = answer.withColumn("component_id", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("component"))
+                               .otherwise(F.col("doc_id")))
+    return answer.select("doc_id", "n_shingles", "component_id",
+                         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+                         *(["text_key"] if text_key else []))

@@ -130,9 +130,10 @@ class WordIds:
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
                      cached_words: int = CACHED_WORDS) -> DataFrame:
-    """(doc_id, piece, start, ids): each document's ids and ``end_id``, cut only if longer than ``capacity``.
+    """(doc_id, text_key, piece, start, ids): each document's ids and ``end_id``, cut only if longer than ``capacity``.
 
-    ``ids`` is binary, 32-bit little-endian.  A null or empty text is the end id alone.
+    ``text_key`` is xxhash64 of the text; ``ids`` is binary, 32-bit little-endian.  A null or
+    empty text is the end id alone.
     ``cached_words`` bounds what a task remembers, and the text it takes at a time.
     """
     end = np.asarray([end_id], dtype="<u4").tobytes()
@@ -141,8 +142,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
         encoder = WordIds(tokenizer, cached_words)
         for part in slices(batches, "text", 1024, 32 * cached_words):
             doc, piece, start, ids = [], [], [], []
-            for d, encoded in zip(part.column("doc_id").to_pylist(),
-                                  encoder.encode(part.column("text")), strict=True):
+            for d, encoded in enumerate(encoder.encode(part.column("text"))):
                 encoded += end
                 for k, at in enumerate(range(0, len(encoded), 4 * capacity)):
                     doc.append(d)
@@ -150,10 +150,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
                     start.append(at // 4)
                     ids.append(encoded[at:at + 4 * capacity])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                 pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "ids"])
+                [*part.select(["doc_id", "text_key"]).take(pa.array(doc, pa.int64())).columns, pa.array(piece, pa.int32()),
+                 pa.array(start, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "text_key", "piece", "start", "ids"])
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, piece int, start long, ids binary"))
+            .withColumn("text_key", F.xxhash64("text"))
+            .mapInArrow(run, "doc_id long, text_key long, piece int, start long, ids binary"))
 
 
 def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[Pattern]:
@@ -297,15 +298,16 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
          cached_words: int = CACHED_WORDS) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of ``docs``.
+    """(doc_id, piece, start, length, ids_crc32, text_key, sequence_id, offset) for every piece of ``docs``.
 
-    Only doc_id and text are read, so other columns may have any name.  A null doc_id is
+    Rows that repeat a doc_id with another text differ in ``text_key`` (xxhash64 of the
+    text); rows that repeat both are interchangeable.  Only doc_id and text are read, so other columns may have any name.  A null doc_id is
     kept as null; a null or empty text is one piece of the end id alone; longer texts than
     ``capacity`` are cut.  ``sequences`` turns the result into token rows.
     """
     pieces = tokenized_pieces(docs, tokenizer, capacity, end_id, cached_words).select(
         "doc_id", "piece", "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
-        F.crc32("ids").alias("ids_crc32"))
+        F.crc32("ids").alias("ids_crc32"), "text_key")
     return place(stage_table(pieces, "pieces"), capacity)
 
 
@@ -313,10 +315,12 @@ def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str, capacity: int
               end_id: int = END_ID) -> DataFrame:
     """(sequence_id, tokens, ids): the packed sequences themselves, at most ``capacity`` ids each.
 
-    Needs doc_ids that are not null and do not repeat.
+    A piece's ids are those of its text, whichever row of ``docs`` holds it, so doc_ids may
+    repeat or be null.
     """
-    ids = tokenized_pieces(docs, tokenizer, capacity, end_id).select("doc_id", "piece", "ids")
-    parts = packed.select("doc_id", "piece", "sequence_id", "offset").join(ids, ["doc_id", "piece"])
+    ids = (tokenized_pieces(docs.select("doc_id", "text").dropDuplicates(["text"]), tokenizer, capacity, end_id)
+           .select("text_key", "piece", "ids"))
+    parts = packed.select("text_key", "piece", "sequence_id", "offset").join(ids, ["text_key", "piece"])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: F.hex(x["ids"]))
     return parts.groupBy("sequence_id").agg(F.unhex(F.array_join(ordered, "")).alias("ids")).select(
         "sequence_id", (F.octet_length("ids") / 4).cast("long").alias("tokens"), "ids")

@@ -151,3 +151,11 @@ def test_small_keys_hold_every_intersection_of_linked_sets():
             linked += 1
             assert len(np.intersect1d(M.small_keys(a), M.small_keys(b)))
     assert linked > 1000 and len(M.small_keys(np.arange(12, dtype=np.uint64))) == 0
+
+
+def test_texts_under_one_id_are_linked_on_their_own(spark):
+    rng = random.Random(31)
+    a, b = text(rng, 40), text(rng, 40)
+    docs = [(9, a), (9, b), (4, edited(rng, a, 1)), (6, edited(rng, b, 1)), (9, a)]
+    got = Counter((r[0], r[2], r[3]) for r in run(spark, docs))
+    assert got == Counter({(4, 4, True): 1, (6, 6, True): 1, (9, 4, False): 2, (9, 6, False): 1})

@@ -87,3 +87,29 @@ def test_each_stage_on_odd_rows(spark, k):
     if k < 4:
         assert rows[0].__fields__ == docs.columns
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rows_of_one_id_go_or_stay_by_their_text(spark):
+    a, b = "the cat and the dog sat on the mat", "a text that no other row holds at all"
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, b + " x y"), (None, a)]
+    docs = spark.createDataFrame([(d, t, "en", "a", 0, "s", 1) for d, t in rows], SCHEMA)
+    got = C.drop_near_duplicates(spark, docs, SF).select("doc_id", "text").collect()
+    assert Counter(map(tuple, got)) == Counter([(1, a), (5, b), (5, b), (7, b + " x y"), (None, a)])
+
+
+def test_packed_sequences_of_the_mix_can_be_rebuilt(spark, kept, tmp_path):
+    from revwise.llm import packing
+    assert len({(r["doc_id"], r["piece"]) for r in kept[5]}) < len(kept[5])  # documents of several epochs
+    path = str(tmp_path / "packed")
+    docs = spark.createDataFrame(kept[4])
+    C.pack_sequences(spark, docs, SF).write.parquet(path)
+    packed = spark.read.parquet(path)
+    import public_tokenizers
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    ids = {(r["text_key"], r["piece"]): bytes(r["ids"]) for r in packing.tokenized_pieces(docs, tokenizer).collect()}
+    rows = packed.collect()
+    whole = {}
+    for r in sorted(rows, key=lambda r: r["offset"]):
+        whole[r["sequence_id"]] = whole.get(r["sequence_id"], b"") + ids[r["text_key"], r["piece"]]
+    built = {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(docs, packed, tokenizer).collect()}
+    assert built == whole and sum(map(len, whole.values())) == 4 * sum(r["length"] for r in rows)
