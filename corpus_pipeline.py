@@ -41,10 +41,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each group of near duplicates the document with the smallest doc_id stays.
 
-    Of rows that repeat the kept doc_id all stay; texts without a word are no duplicates.
+    Rows are dropped by doc_id and text, so of rows that share a doc_id each goes or stays by
+    its own text, and rows that repeat both stay together; texts without a word and rows
+    without a doc_id are no duplicates.
     """
-    copies = minmax_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    doc, key = fresh(docs.columns, "copy_id", "copy_key")
+    copies = (minmax_dedup.near_duplicates(docs, text_key=True).where("not kept")
+              .select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct())
+    same = (F.col(doc) == F.col("doc_id").cast("long")) & (F.col(key) == F.xxhash64(F.col("text").cast("string")))
+    return docs.join(copies, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +71,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: the token pieces of every row and their places in sequences of 4096."""
+    """Operator 7: the token pieces of every row and their places in sequences of 4096.
+
+    The rows of one document from several epochs of the mix differ in text_key.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=CACHED_WORDS)
 
 
