@@ -6,10 +6,12 @@ carries one row per (map task, key) whatever the skew of the key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revwise.functions.text import mask_pii
+from revwise.functions.text import mask_pii, round2_or_zero
 from revwise.operators.filters import valid_reviews
 
 RUN_STATUSES = ("pending", "ingested", "clustered", "summarized", "rendered", "published", "failed")
@@ -27,7 +29,8 @@ def product_stats(reviews: DataFrame) -> DataFrame:
     """A1 + C15: review count and mean rating (nulls skipped) by product."""
     return (reviews.groupBy("product_key")
             .agg(F.count(F.lit(1)).alias("total_reviews"),
-                 F.coalesce(F.round(F.avg("rating"), 2), F.lit(0.0)).alias("avg_rating")))
+                 F.avg("rating").alias("avg_rating"))
+            .withColumn("avg_rating", round2_or_zero(F.col("avg_rating"))))
 
 
 def source_counts(reviews: DataFrame) -> DataFrame:
@@ -49,3 +52,15 @@ def source_coverage(reviews: DataFrame) -> DataFrame:
                  F.count_distinct("language").alias("n_languages"),
                  F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
                  F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages")))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """A2: the number of rows of each table (table_name, n)."""
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()])
+
+
+def sample_review(reviews: DataFrame, chars: int = 200) -> DataFrame:
+    """One review (the smallest id), its body cut to ``chars`` characters."""
+    return (reviews.select("id", "source", "rating", F.substring("body", 1, chars).alias("body"))
+            .orderBy("id").limit(1))

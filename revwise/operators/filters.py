@@ -7,11 +7,12 @@ reaches the parquet scan as a pushed filter when the input is a scan.
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revwise.functions.text import at_least_words, has_non_emoji
+from revwise.functions.text import ISO_WEEK_PATTERN, IST_OFFSET_MINUTES, at_least_words, has_non_emoji
 
 SOURCES = ("appstore", "playstore")
 MIN_WORDS = 3
@@ -34,6 +35,22 @@ def window_filter(reviews: DataFrame, now: str | dt.datetime, weeks: int = 10) -
     return reviews.filter(in_window(F.col("posted_at"), now, weeks))
 
 
+def window_of_week(week: str, weeks: int = 10) -> tuple[dt.datetime, dt.datetime]:
+    """The UTC window [start, end) of ``weeks`` weeks that ends with the ISO week ``YYYY-Www`` (Sunday, India time)."""
+    m = re.fullmatch(ISO_WEEK_PATTERN, week)
+    if not m:
+        raise ValueError(f"not an ISO week: {week!r}")
+    monday = dt.datetime.combine(dt.date.fromisocalendar(int(m[1]), int(m[2]), 1), dt.time())
+    end = monday + dt.timedelta(weeks=1) - dt.timedelta(minutes=IST_OFFSET_MINUTES)
+    return end - dt.timedelta(weeks=weeks), end
+
+
+def backfill_window(reviews: DataFrame, week: str, weeks: int = 10) -> DataFrame:
+    """The reviews of a week's window, for a run of that week whenever it is made."""
+    start, end = (F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz") for x in window_of_week(week, weeks))
+    return reviews.filter((F.col("posted_at") >= start) & (F.col("posted_at") < end))
+
+
 def language_ok(lang: Column) -> Column:
     """language empty/null or starting with 'en' (any case)."""
     return (F.coalesce(lang, F.lit("")) == "") | F.lower(lang).startswith("en")

@@ -47,9 +47,15 @@ def _item(run: DataFrame, section: str, item: Column, text: Column, style: str,
                       F.lit(italic).alias("italic"))
 
 
+def utf16_length(c: Column) -> Column:
+    """Length in UTF-16 units: characters beyond U+FFFF count twice."""
+    return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]+", ""))
+
+
 def report_lines(header: DataFrame, themes: DataFrame, quotes: DataFrame, actions: DataFrame,
-                 audiences: DataFrame, start_index: int = 1) -> DataFrame:
-    """R1 + W5: ordered lines with style and [start, end) offsets.
+                 audiences: DataFrame, start_index: int = 1, utf16: bool = False) -> DataFrame:
+    """R1 + W5: ordered lines with style and [start, end) offsets, in characters or (X14) in
+    UTF-16 units.
 
     header: (run_id, product_key, display, iso_week); themes: (run_id, rank,
     label, description); quotes: (run_id, quote_rank, text, source, rating);
@@ -81,9 +87,10 @@ def report_lines(header: DataFrame, themes: DataFrame, quotes: DataFrame, action
     first = start_index + (1 if start_index > 1 else 0)
     w = (Window.partitionBy("run_id").orderBy("section", "item")
          .rowsBetween(Window.unboundedPreceding, -1))
-    before = F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))
+    size = utf16_length(F.col("text")) if utf16 else F.length("text")
+    before = F.coalesce(F.sum(size).over(w), F.lit(0))
     out = lines.withColumn("start", (F.lit(first) + before).cast("int"))
-    return out.withColumn("end", F.col("start") + F.length("text"))
+    return out.withColumn("end", F.col("start") + size)
 
 
 def doc_requests(lines: DataFrame, start_index: int = 1) -> DataFrame:

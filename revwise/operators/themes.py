@@ -148,8 +148,15 @@ def select_quotes(checked: DataFrame) -> DataFrame:
     return cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def report_quotes(chosen: DataFrame, cluster_order: DataFrame, n: int = REPORT_QUOTES) -> DataFrame:
-    """W3 (second half): first n quotes over clusters in size order."""
+def report_quotes(chosen: DataFrame, cluster_order: DataFrame, n: int = REPORT_QUOTES,
+                  top_themes: DataFrame | None = None) -> DataFrame:
+    """W3 (second half): first n quotes over clusters in size order.
+
+    With ``top_themes`` (run_id, cluster_id) only quotes of these count (X9), so that every
+    quote belongs to a theme of the report.
+    """
+    if top_themes is not None:
+        chosen = chosen.join(top_themes.select("run_id", "cluster_id"), ["run_id", "cluster_id"], "left_semi")
     j = chosen.join(cluster_order.select("run_id", "cluster_id", "size_rank"),
                     ["run_id", "cluster_id"])
     w = Window.partitionBy("run_id").orderBy("size_rank")

@@ -12,8 +12,9 @@ from revwise.operators import report as RP
 from revwise.operators import runs as RU
 from revwise.operators import themes as TH
 from revwise.plans import sqlparts as S
-from revwise.plans.q_themes import THEME_CTES, ThemeInputs, chosen_quotes, label_log, themes_of
+from revwise.plans.q_themes import THEME_CTES, ThemeInputs, chosen_quotes, themes_of
 from revwise.plans.registry import REVIEWS_CTE, RUN_EVENTS_CTE, query, with_ctes
+from revwise.session import materialize_table
 from revwise.sources.registry import with_product
 from revwise.sources.testdata import reviews, run_events
 
@@ -21,7 +22,7 @@ AUDIENCES = ("Product", "Support", "Leadership")
 
 
 class Parts:
-    """The report's tables, each planned when first asked for."""
+    """The report's tables, each made when first asked for; those read more than once are stage tables."""
 
     def __init__(self, spark, sf):
         self.spark, self.sf, self.ti = spark, sf, ThemeInputs(spark, sf)
@@ -35,31 +36,33 @@ class Parts:
         h = cr.groupBy("run_id").agg(F.to_date(F.min("posted_at")).alias("window_start"),
                                      F.to_date(F.max("posted_at")).alias("window_end"),
                                      F.count(F.lit(1)).alias("total_reviews"),
-                                     F.round(F.avg("rating"), 2).alias("avg_rating"))
+                                     F.avg("rating").alias("avg_rating"))
+        h = h.withColumn("avg_rating", T.round_half_even(F.col("avg_rating")))
         week = F.concat(F.extract(F.lit("YEAROFWEEK"), F.col("window_end")).cast("string"), F.lit("-W"),
                         F.lpad(F.weekofyear("window_end").cast("string"), 2, "0"))
-        return with_product(h.join(product.select("run_id", "p.product_key"), "run_id")
-                            .withColumn("iso_week", week), self.registry)
+        return materialize_table(with_product(h.join(product.select("run_id", "p.product_key"), "run_id")
+                                              .withColumn("iso_week", week), self.registry))
 
     @cached_property
     def registry(self):
         """Products with a rated review are configured; every second one has receivers."""
         key = F.col("product_key")
         some = F.length(key) % 2 == 0
-        return (reviews(self.spark, self.sf).filter(F.col("rating").isNotNull()).select("product_key").distinct()
-                .select(key.alias("key"), F.concat(F.lit("Product "), key).alias("display_name"),
-                        F.struct(F.when(some, F.array(F.concat(key, F.lit("@example.com")))).otherwise(
-                                     F.array().cast("array<string>")).alias("to"),
-                                 F.array(F.lit("cc@example.com"), key).alias("cc"),
-                                 F.array().cast("array<string>").alias("bcc")).alias("recipients")))
+        keys = reviews(self.spark, self.sf).filter(F.col("rating").isNotNull()).select("product_key").distinct()
+        return materialize_table(keys.select(
+            key.alias("key"), F.concat(F.lit("Product "), key).alias("display_name"),
+            F.struct(F.when(some, F.array(F.concat(key, F.lit("@example.com")))).otherwise(
+                         F.array().cast("array<string>")).alias("to"),
+                     F.array(F.lit("cc@example.com"), key).alias("cc"),
+                     F.array().cast("array<string>").alias("bcc")).alias("recipients")))
 
     @cached_property
     def ranked(self):
-        return TH.rank_themes(themes_of(self.ti))
+        return materialize_table(TH.rank_themes(themes_of(self.ti)))
 
     @cached_property
     def quotes(self):
-        return TH.report_quotes(chosen_quotes(self.ti), self.ti.top)
+        return materialize_table(TH.report_quotes(chosen_quotes(self.ti), self.ti.top))
 
     @cached_property
     def actions(self):
@@ -77,7 +80,7 @@ class Parts:
     @cached_property
     def metrics(self):
         """A7 over the run's label calls (prompt: the cluster's size, answer: its number)."""
-        calls = TH.parse_label_responses(label_log(self.ti.med)).join(
+        calls = self.ti.labels.join(
             self.ti.top.select("run_id", "cluster_id", F.col("size").alias("prompt_tokens")), ["run_id", "cluster_id"])
         return TH.llm_cost(calls.withColumn("completion_tokens", F.col("attempt").cast("long")))
 
@@ -85,7 +88,7 @@ class Parts:
 HDR_SQL = """
 , hdr0 AS (
   SELECT run_id, min(CAST(posted_at AS DATE)) AS window_start, max(CAST(posted_at AS DATE)) AS window_end,
-         count(*) AS total_reviews, round(avg(rating), 2) AS avg_rating,
+         count(*) AS total_reviews, CAST(printf('%.2f', avg(rating)) AS DOUBLE) AS avg_rating,
          strftime(max(CAST(posted_at AS DATE)), '%G-W%V') AS iso_week
   FROM creviews GROUP BY run_id),
 registry AS (

@@ -9,7 +9,8 @@ from revwise.operators import aggregates as A
 from revwise.operators import filters as FL
 from revwise.plans.registry import REVIEWS_CTE, query, with_ctes
 from revwise.plans import sqlparts as S
-from revwise.sources.testdata import reviews
+from revwise.sources import feeds as FD
+from revwise.sources.testdata import load, reviews
 
 WINDOW_NOW = "2024-03-01 00:00:00"
 WINDOW_WEEKS = 4
@@ -21,7 +22,7 @@ def ts_text(c):
 
 @query("q_product_stats", with_ctes(REVIEWS_CTE) + f"""
 SELECT product_key, count(*) AS total_reviews,
-       coalesce(round(avg(rating), 2), 0.0) AS avg_rating
+       coalesce(CAST(printf('%.2f', avg(rating)) AS DOUBLE), 0.0) AS avg_rating
 FROM reviews WHERE {S.valid_sql()} GROUP BY product_key""")
 def q_product_stats(spark, sf):
     return A.product_stats(A.stored_reviews(reviews(spark, sf)))
@@ -184,3 +185,52 @@ SELECT product_key, count(DISTINCT source) AS n_sources, count(DISTINCT language
 FROM reviews GROUP BY product_key""")
 def q_source_coverage(spark, sf):
     return A.source_coverage(reviews(spark, sf))
+
+
+@query("q_table_counts", with_ctes(REVIEWS_CTE) + """
+SELECT 'reviews' AS table_name, count(*) AS n FROM reviews
+UNION ALL SELECT 'review_embeddings', count(*) FROM embeddings
+UNION ALL SELECT 'runs', count(DISTINCT user_id) FROM events
+UNION ALL SELECT 'products', count(DISTINCT source) FROM documents""")
+def q_table_counts(spark, sf):
+    """A2: rows of the store's tables (runs and products as the tables imply them)."""
+    r = reviews(spark, sf)
+    return A.table_counts({"reviews": r, "review_embeddings": load(spark, sf, "embeddings"),
+                           "runs": load(spark, sf, "events").where("user_id is not null").select("user_id").distinct(),
+                           "products": r.where("product_key is not null").select("product_key").distinct()})
+
+
+@query("q_sample_review", with_ctes(REVIEWS_CTE) + """
+SELECT id, source, rating, substring(body, 1, 200) AS body FROM reviews ORDER BY id LIMIT 1""")
+def q_sample_review(spark, sf):
+    """The sample review."""
+    return A.sample_review(reviews(spark, sf))
+
+
+BACKFILL_WEEK = "2024-W04"
+
+
+@query("q_backfill_stats", with_ctes(REVIEWS_CTE) + f"""
+SELECT product_key, count(*) AS total_reviews, coalesce(CAST(printf('%.2f', avg(rating)) AS DOUBLE), 0.0) AS avg_rating
+FROM reviews WHERE {S.valid_sql()}
+  AND posted_at >= TIMESTAMP '2024-01-28 18:30:00' - INTERVAL {WINDOW_WEEKS * 7} DAY AND posted_at < TIMESTAMP '2024-01-28 18:30:00'
+GROUP BY product_key""")
+def q_backfill_stats(spark, sf):
+    """A1 over the window of a given week."""
+    return A.product_stats(FL.backfill_window(A.stored_reviews(reviews(spark, sf)), BACKFILL_WEEK, WINDOW_WEEKS))
+
+
+@query("q_parse_dates", with_ctes(REVIEWS_CTE) + f"""
+SELECT id, CASE WHEN doc_id % 5 = 4 THEN {S.ts_text_sql('ingested_at')} ELSE {S.ts_text_sql('posted_at')} END AS posted_at,
+       doc_id % 5 = 4 AS defaulted
+FROM reviews""")
+def q_parse_dates(spark, sf):
+    """Dates written with Z, with an offset, without a zone, with a blank, and not at all."""
+    at, n = F.col("posted_at"), F.col("doc_id") % 5
+    east = F.date_format(at + F.expr("INTERVAL 330 MINUTES"), "yyyy-MM-dd'T'HH:mm:ss'+05:30'")
+    text = (F.when(n == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(n == 1, east)
+            .when(n == 2, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).when(n == 3, F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
+            .otherwise(F.lit("last week")))
+    posted, defaulted = FD.parse_date(F.col("date_text"), F.col("ingested_at"))
+    rows = reviews(spark, sf).withColumn("date_text", text)
+    return rows.select("id", ts_text(posted).alias("posted_at"), defaulted.alias("defaulted"))

@@ -23,21 +23,27 @@ from revwise.operators import themes as TH
 from revwise.plans import sqlparts as S
 from revwise.plans.registry import (CALL_LOG_CTE, CLUSTERED_REVIEWS_CTE, REVIEWS_CTE, query,
                                     with_ctes)
-from revwise.sources.testdata import call_log, clustered_reviews, stored
+from revwise.session import materialize_table
+from revwise.sources.testdata import call_log, clustered_reviews
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
 
 
 class ThemeInputs:
-    """Cluster-stage outputs the theme stage reads, each planned when first asked for."""
+    """Cluster-stage outputs the theme stage reads.
+
+    Each is made when first asked for and written once as a stage table, the way a weekly
+    run leaves them, so that a later step reads rows instead of planning all steps
+    before it again.
+    """
 
     def __init__(self, spark, sf):
         self.spark, self.sf = spark, sf
 
     @cached_property
     def cr(self):
-        return clustered_reviews(self.spark, self.sf)
+        return materialize_table(clustered_reviews(self.spark, self.sf))
 
     @cached_property
     def mem(self):
@@ -45,20 +51,29 @@ class ThemeInputs:
 
     @cached_property
     def top(self):
-        return CL.top_clusters(CL.cluster_sizes(self.cr))
+        return materialize_table(CL.top_clusters(CL.cluster_sizes(self.cr)))
 
     @cached_property
     def pool(self):
-        return TH.pool(self.mem, self.top)
+        return materialize_table(TH.pool(self.mem.drop("embedding"), self.top))
 
     @cached_property
     def reviews(self):
-        return stored(self.spark, self.sf)
+        """The clustered reviews as (id, body, ...): every medoid is one of them."""
+        return self.cr.select(F.col("review_id").alias("id"), "body", "rating", "source")
 
     @cached_property
     def med(self):
-        return CL.medoids(self.cr).join(self.top.select("run_id", "cluster_id", "size", "size_rank"),
-                                        ["run_id", "cluster_id"])
+        return materialize_table(CL.medoids(self.cr).join(
+            self.top.select("run_id", "cluster_id", "size", "size_rank"), ["run_id", "cluster_id"]))
+
+    @cached_property
+    def checked(self):
+        return materialize_table(TH.check_quotes(quote_log(self.pool), self.pool))
+
+    @cached_property
+    def labels(self):
+        return materialize_table(TH.parse_label_responses(label_log(self.med)))
 
 
 def quote_log(pool):
@@ -104,8 +119,7 @@ def label_log(med):
 
 
 def themes_of(ti):
-    parsed = TH.first_good_attempt(TH.parse_label_responses(label_log(ti.med)),
-                                   ["run_id", "cluster_id"])
+    parsed = TH.first_good_attempt(ti.labels, ["run_id", "cluster_id"])
     t = ti.top.join(parsed.select("run_id", "cluster_id", "label", "description", "sentiment"),
                        ["run_id", "cluster_id"], "left")
     t = t.select("run_id", "cluster_id", "size", "size_rank",
@@ -350,12 +364,11 @@ def q_quote_requests(spark, sf):
 SELECT run_id, cluster_id, attempt, position, text, valid FROM qchk""")
 def q_quote_check(spark, sf):
     ti = ThemeInputs(spark, sf)
-    c = TH.check_quotes(quote_log(ti.pool), ti.pool)
-    return c.select("run_id", "cluster_id", "attempt", "position", "text", "valid")
+    return ti.checked.select("run_id", "cluster_id", "attempt", "position", "text", "valid")
 
 
 def chosen_quotes(ti):
-    return TH.select_quotes(TH.check_quotes(quote_log(ti.pool), ti.pool))
+    return TH.select_quotes(ti.checked)
 
 
 @query("q_quotes", THEME_CTES + """
@@ -370,6 +383,17 @@ def q_quotes(spark, sf):
                     "quote_rank")
 
 
+@query("q_theme_quotes", THEME_CTES + """
+SELECT q.run_id, q.cluster_id, q.text, t.size_rank, row_number() OVER (PARTITION BY q.run_id ORDER BY t.size_rank) AS quote_rank
+FROM qchosen q JOIN ctop t USING (run_id, cluster_id) JOIN ranked r ON r.run_id = q.run_id AND r.cluster_id = q.cluster_id
+QUALIFY quote_rank <= 3""")
+def q_theme_quotes(spark, sf):
+    """W3 with quotes of the report's themes alone."""
+    ti = ThemeInputs(spark, sf)
+    r = TH.report_quotes(chosen_quotes(ti), ti.top, top_themes=TH.rank_themes(themes_of(ti)))
+    return r.select("run_id", "cluster_id", "text", "size_rank", "quote_rank")
+
+
 @query("q_quote_attribution", THEME_CTES + f"""
 SELECT q.run_id, q.cluster_id, q.text, min(p.review_id) AS src_review_id,
        arg_min(p.rating, p.review_id) AS src_rating, arg_min(p.source, p.review_id) AS src_source
@@ -404,8 +428,7 @@ SELECT l.run_id, l.cluster_id, l.attempt, l.ok,
                              ELSE 'mixed' END END AS sentiment
 FROM lparsed l""")
 def q_parse_responses(spark, sf):
-    p = TH.parse_label_responses(label_log(ThemeInputs(spark, sf).med))
-    return p.select("run_id", "cluster_id", "attempt", "ok", "label", "description", "sentiment")
+    return ThemeInputs(spark, sf).labels.select("run_id", "cluster_id", "attempt", "ok", "label", "description", "sentiment")
 
 
 @query("q_theme_rank", THEME_CTES + """
@@ -498,4 +521,4 @@ WHERE attempt = 1 AND NOT valid
 GROUP BY ALL""")
 def q_quote_retry_requests(spark, sf):
     ti = ThemeInputs(spark, sf)
-    return TH.retry_requests(TH.check_quotes(quote_log(ti.pool), ti.pool))
+    return TH.retry_requests(ti.checked)

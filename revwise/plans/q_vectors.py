@@ -10,45 +10,21 @@ from revwise.plans.registry import CLUSTER_VECTORS_CTE, REVIEWS_CTE, query, with
 from revwise.sources.testdata import cluster_vectors, reviews
 
 KNN_K = 15
-DIM = 64  # of the test table's vectors
-
-
-def directions_sql() -> str:
-    rows = [f"({t}, {j}, {r})" for t, signs in enumerate(KN.sign_directions(DIM)) for j, r in enumerate(signs)]
-    return ", ".join(rows)
-
 
 @query("q_knn", with_ctes(CLUSTER_VECTORS_CTE) + f"""
 , p AS (
-  SELECT run_id, review_id, CAST(embedding AS DOUBLE[]) AS x,
-         list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(
+  SELECT run_id, review_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(
            list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v
   FROM cluster_vectors),
-dirs(t, j, r) AS (VALUES {directions_sql()}),
-sg AS (
-  SELECT run_id, review_id, t, string_agg(CASE WHEN list_inner_product(x, CAST(r AS DOUBLE[])) >= 0
-                                          THEN '1' ELSE '0' END, '' ORDER BY j) AS s
-  FROM p CROSS JOIN dirs GROUP BY ALL),
-n AS (SELECT run_id, greatest(0, CAST(ceil(log2(count(*) / {KN.BUCKET}.0)) AS BIGINT)) AS l0 FROM p GROUP BY run_id),
-lv AS (SELECT sg.*, unnest(generate_series(n.l0, {KN.SIGNS})) AS l FROM sg JOIN n USING (run_id)),
-cnt AS (SELECT *, count(*) OVER (PARTITION BY run_id, t, l, substring(s, 1, l)) AS c FROM lv),
-pick AS (
-  SELECT run_id, review_id, t, s, min(l) FILTER (c <= {KN.BUCKET}) AS l FROM cnt GROUP BY ALL),
-near AS (
-  SELECT DISTINCT a.run_id, a.review_id, b.review_id AS neighbor_id
-  FROM pick a JOIN pick b ON a.run_id = b.run_id AND a.t = b.t AND a.l = b.l
-   AND substring(a.s, 1, a.l) = substring(b.s, 1, b.l) AND a.review_id <> b.review_id),
 pairs AS (
-  SELECT c.run_id, c.review_id, c.neighbor_id, 1.0 - list_inner_product(a.v, b.v) AS distance
-  FROM near c JOIN p a ON a.run_id = c.run_id AND a.review_id = c.review_id
-  JOIN p b ON b.run_id = c.run_id AND b.review_id = c.neighbor_id)
+  SELECT a.run_id, a.review_id, b.review_id AS neighbor_id, round(1.0 - list_inner_product(a.v, b.v), 12) AS distance
+  FROM p a JOIN p b ON a.run_id = b.run_id AND a.review_id <> b.review_id)
 SELECT run_id, review_id, neighbor_id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance
 FROM (SELECT *, row_number() OVER (PARTITION BY run_id, review_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
 WHERE rank <= {KNN_K}""")
 def q_knn(spark, sf):
-    """The exact neighbours.  The twin still searches sign buckets, so it lacks neighbours
-    in a run of more points than a bucket holds and differs there."""
-    nn = KN.knn_blocks(cluster_vectors(spark, sf), k=KNN_K)
+    """The 15 nearest neighbours of every vector of its run, exactly."""
+    nn = KN.knn(cluster_vectors(spark, sf), k=KNN_K)
     return nn.select("run_id", "review_id", "neighbor_id", F.col("rank").cast("int").alias("rank"),
                      F.round("distance", 6).alias("distance"))
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from revwise.functions.text import fallback_external_id, mask_pii, sha1_id
 from revwise.operators.filters import enough_words, not_emoji_only
-from revwise.session import materialize
 
 # Feed page: entries hold ``.label`` leaves; the first entry (the app record)
 # has no author.  ``author`` is read as raw JSON text: only its presence counts.
@@ -72,24 +71,29 @@ def feed_reviews(pages: DataFrame, since: str | None, ingested_at: str) -> DataF
     return _finish(rows, "appstore", since, ingested_at)
 
 
-def _walk_reviews(roots: DataFrame) -> DataFrame:
-    """All nested objects with ``$kind = 'Review'`` under each root VARIANT, at any depth.
+#: Nesting that the walk follows; Spark ends a deeper one with an error.
+MAX_DEPTH = 10_000
 
-    One round per nesting level: objects and arrays are exploded into their
-    children, of which only objects and arrays are kept; rounds stop when none
-    is left.  Each round is a checkpointed table, so the lineage is one level deep.
-    """
-    kind = F.try_variant_get(F.col("node"), '$["$kind"]', "string")
-    as_obj = F.try_variant_get(F.col("node"), "$", "map<string,variant>")
-    as_arr = F.try_variant_get(F.col("node"), "$", "array<variant>")
-    nodes = materialize(roots)
-    hits = nodes.filter(kind == REVIEW_KIND)
-    while not nodes.isEmpty():
-        kids = nodes.select(*[c for c in nodes.columns if c != "node"],
-                            F.explode(F.coalesce(F.map_values(as_obj), as_arr)).alias("node"))
-        nodes = materialize(kids.filter(as_obj.isNotNull() | as_arr.isNotNull()))
-        hits = hits.unionByName(nodes.filter(kind == REVIEW_KIND))
-    return hits
+# The children of objects and arrays that are objects or arrays themselves, level by level, in
+# one recursive plan.  LIMIT ALL lifts Spark's limit on the rows of a recursion.
+WALK = f"""
+WITH RECURSIVE walk(product_key, node) MAX RECURSION LEVEL {MAX_DEPTH} AS (
+  SELECT product_key, node FROM {{roots}}
+  UNION ALL
+  SELECT product_key, child FROM (
+    SELECT product_key, explode(coalesce(map_values(try_variant_get(node, '$', 'map<string,variant>')),
+                                         try_variant_get(node, '$', 'array<variant>'))) AS child
+    FROM walk)
+  WHERE try_variant_get(child, '$', 'map<string,variant>') IS NOT NULL
+     OR try_variant_get(child, '$', 'array<variant>') IS NOT NULL)
+SELECT product_key, node FROM walk LIMIT ALL"""
+
+
+def _walk_reviews(roots: DataFrame) -> DataFrame:
+    """All nested objects with ``$kind = 'Review'`` under each root VARIANT (product_key, node), at
+    any depth, by recursive SQL."""
+    nodes = roots.sparkSession.sql(WALK, roots=roots.select("product_key", "node"))
+    return nodes.filter(F.try_variant_get(F.col("node"), '$["$kind"]', "string") == REVIEW_KIND)
 
 
 def page_reviews(pages: DataFrame, since: str | None, ingested_at: str) -> DataFrame:
@@ -130,12 +134,18 @@ def appstore_reviews(pages: DataFrame, html_pages: DataFrame, since: str | None,
 
 
 def store_rows(batches: DataFrame, since: str | None, ingested_at: str) -> DataFrame:
-    """S3: second store's rows; rows without a date are skipped, title is null."""
+    """S3: second store's rows; rows without a date are skipped, title is null.
+
+    A row without a score counts 0, one whose score is null has no rating (C6): ``has_score``
+    tells them apart where ``batches`` has it (``read_store_batches``); without it a null
+    score is taken as absent.
+    """
+    has_score = F.col("has_score") if "has_score" in batches.columns else F.col("score").isNotNull()
     rows = batches.filter(F.col("at").isNotNull()).select(
         "product_key", F.col("reviewId").alias("external_id"),
         F.coalesce(F.col("content"), F.lit("")).alias("body"),
         F.lit(None).cast("string").alias("title"), F.col("at").alias("date_text"),
-        F.coalesce(F.col("score"), F.lit(0)).alias("rating"),
+        F.when(has_score, F.col("score")).otherwise(F.lit(0)).alias("rating"),
         F.col("reviewCreatedVersion").alias("version"))
     return _finish(rows, "playstore", since, ingested_at)
 
@@ -147,5 +157,12 @@ def read_feed_pages(spark: SparkSession, path: str) -> DataFrame:
                                                      r"product_key=([^/]+)", 1)))
 
 
+def parse_store_lines(lines: DataFrame) -> DataFrame:
+    """Rows of landed JSON lines (value), and whether each has a score at all."""
+    parsed = lines.select(F.from_json("value", STORE_SCHEMA).alias("r"),
+                          F.array_contains(F.json_object_keys("value"), "score").alias("has_score"))
+    return parsed.select("r.*", F.coalesce("has_score", F.lit(False)).alias("has_score"))
+
+
 def read_store_batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORE_SCHEMA).json(path)
+    return parse_store_lines(spark.read.text(path))

@@ -10,9 +10,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from revwise.session import build_session
-    s = build_session(master="local[*]", shuffle_partitions=8, app="revwise-tests")
-    yield s
-    s.stop()
+    with tempfile.TemporaryDirectory(prefix="revwise-warehouse-") as warehouse:
+        s = build_session(master="local[*]", shuffle_partitions=8, app="revwise-tests",
+                          extra={"spark.sql.warehouse.dir": warehouse})
+        yield s
+        s.stop()
 
 
 @pytest.fixture()

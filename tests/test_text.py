@@ -114,3 +114,41 @@ def test_parse_date_ignores_session_zone(spark):
         assert [str(r.ts) for r in df.select(ts.alias("ts")).collect()] == ["2024-05-01 10:00:00"] * 2
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_rounding_equals_python_on_ties_and_near_ties(spark):
+    import random
+    rng = random.Random(3)
+    values = [0.0, -0.0, 2.675, 1.005, 3.125, -3.125, 0.285, 1e300, -1e17, 2.0 ** 44 + 0.125, 5e-324, 0.005, 0.015]
+    values += [k / 8 for k in range(-400, 400)] + [k / 200 for k in range(-2000, 2000)] + [k / 1000 for k in range(0, 9000, 5)]
+    values += [rng.uniform(-6, 6) for _ in range(200_000)] + [rng.randint(1, 500) / rng.randint(1, 200) for _ in range(100_000)]
+    values += [rng.uniform(0, 2.0 ** 40) for _ in range(20_000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(8)
+    for digits in (0, 2, 5):
+        limit = 2.0 ** 51 / 10 ** digits
+        rows = df.select("x", T.round_half_even(F.col("x"), digits).alias("y")).collect()
+        assert all(r["y"] == r["x"] for r in rows if abs(r["x"]) >= limit)
+        rows = [r for r in rows if abs(r["x"]) < limit]
+        assert len(rows) > 300_000
+        assert [(r["x"], r["y"]) for r in rows if r["y"] != round(r["x"], digits)] == []
+    odd = spark.sql("select * from values (cast(null as double)), (double('nan')), (double('inf')) as t(x)")
+    assert [str(r["y"]) for r in odd.select(T.round_half_even(F.col("x")).alias("y")).collect()] == ["None", "nan", "inf"]
+    assert odd.limit(1).select(T.round2_or_zero(F.col("x")).alias("y")).first()["y"] == 0.0
+
+
+def test_window_of_a_week_ends_with_its_sunday_in_india():
+    import datetime as dt
+
+    import pytest
+    assert FL.window_of_week("2024-W04", 4) == (dt.datetime(2023, 12, 31, 18, 30), dt.datetime(2024, 1, 28, 18, 30))
+    assert FL.window_of_week("2026-W53", 1)[1] == dt.datetime(2027, 1, 3, 18, 30)
+    for bad in ("2024-4", "W04", "2024-W04 "):
+        with pytest.raises(ValueError, match="ISO week"):
+            FL.window_of_week(bad)
+
+
+def test_utf16_offsets(spark):
+    from revwise.operators.report import utf16_length
+    texts = ["", "abc", "a😀★—é", "👨‍👩‍👧", "日本"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", utf16_length(F.col("t")).alias("n")).collect()
+    assert all(r["n"] == len(r["t"].encode("utf-16-le")) // 2 for r in got)
