@@ -175,19 +175,20 @@ WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM p),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
 g AS (
   SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase
   FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
         FROM w, (VALUES (1), (2), (3), (4)) AS s(k) WHERE len(w) >= k)),
-f AS (SELECT lang, words, phrase, count(*) AS n FROM g GROUP BY ALL),
-t AS (SELECT lang, sum(n) AS total FROM f WHERE words = 1 GROUP BY lang),
-c AS (SELECT lang, words, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE words > 1 AND n >= 30),
+t AS MATERIALIZED (SELECT lang, count(*) AS total FROM g WHERE words = 1 GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, words, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, words, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE words > 1),
 q AS (
   SELECT c.lang, c.words, c.phrase, c.a, k, x.n AS l, y.n AS r, 2000000::HUGEINT * c.a // (x.n + y.n)::HUGEINT AS score
-  FROM (SELECT *, unnest(range(1, words)) AS k FROM c) c
-  JOIN f x ON x.lang = c.lang AND x.words = k AND x.phrase = array_to_string(w[1:k], ' ')
-  JOIN f y ON y.lang = c.lang AND y.words = c.words - k AND y.phrase = array_to_string(w[k + 1:], ' ')),
+  FROM (SELECT *, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:words], ' ') AS tail
+        FROM (SELECT *, unnest(range(1, words)) AS k FROM c)) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = c.head
+  JOIN f y ON y.lang = c.lang AND y.phrase = c.tail),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM q) WHERE o = 1),
 d AS (
   SELECT DISTINCT e.lang, e.part AS phrase
