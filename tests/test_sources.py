@@ -104,22 +104,20 @@ def test_stream_twice_same_table(spark, tmpdir_path):
 
 
 def test_absent_score_counts_zero_and_null_score_has_no_rating(spark, tmp_path):
-    from revwise.sources.feeds import read_store_batches
     lines = [{"reviewId": "a", "score": 4}, {"reviewId": "b", "score": None}, {"reviewId": "c"}, {"reviewId": "d", "score": "x"}]
     path = tmp_path / "batch.json"
     path.write_text("\n".join(json.dumps({"product_key": "p", "content": f"{BODY} {r['reviewId']}", "at": "2024-05-01 00:00:00"} | r)
                               for r in lines) + "\nnot json\n")
-    got = {r["external_id"]: r["rating"] for r in store_rows(read_store_batches(spark, str(path)), None, NOW).collect()}
+    got = {r["external_id"]: r["rating"] for r in FD.store_rows(FD.read_store_batches(spark, str(path)), None, NOW).collect()}
     assert got == {"a": 4, "b": None, "c": 0, "d": None}
 
 
 def test_reviews_nested_a_hundred_and_fifty_levels_deep(spark):
-    from revwise.sources.feeds import page_reviews
     node = {"$kind": "Review", "id": "deep", "contents": f"{BODY} deep", "reviewerName": "n", "date": "2024-05-01T00:00:00Z"}
     for level in range(150):
         node = {"kids": [node, level, {"$kind": "Other"}], "$kind": "Review" if level == 75 else None, "id": f"l{level}",
                 "contents": f"{BODY} at {level}", "reviewerName": "n", "date": "2024-05-01T00:00:00Z"}
     html = "<script>" + json.dumps(node) + "</script>"
     pages = spark.createDataFrame([("p", html), ("q", "<script>reviewerName {}</script>"), ("r", None)], "product_key string, html string")
-    out = page_reviews(pages, None, NOW)
+    out = FD.page_reviews(pages, None, NOW)
     assert {r["external_id"] for r in out.collect()} == {"deep", "l75"}
