@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from revwise.operators import embed as EM
 from revwise.operators import knn as KN
 from revwise.plans.registry import CLUSTER_VECTORS_CTE, REVIEWS_CTE, query, with_ctes
+from revwise.session import materialize_table
 from revwise.sources.testdata import cluster_vectors, reviews
 
 KNN_K = 15
@@ -65,7 +66,7 @@ FROM cluster_vectors GROUP BY run_id""")
 def q_reduce(spark, sf):
     """M2: PCA of the run's vectors, and what must hold of it: the dimension, component
     means of 0, falling variances, and no more variance than the vectors have."""
-    vec = cluster_vectors(spark, sf).select("run_id", "review_id", "embedding")
+    vec = materialize_table(cluster_vectors(spark, sf).select("run_id", "review_id", "embedding"))
     r = EM.reduce_dims(vec).select("run_id", "review_id", F.posexplode("reduced").alias("c", "x"))
     per = r.groupBy("run_id", "c").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
     total = (vec.select("run_id", F.posexplode("embedding").alias("d", "x")).groupBy("run_id", "d")
