@@ -71,29 +71,46 @@ def feed_reviews(pages: DataFrame, since: str | None, ingested_at: str) -> DataF
     return _finish(rows, "appstore", since, ingested_at)
 
 
-#: Nesting that the walk follows; Spark ends a deeper one with an error.
+#: Nesting that the walk follows; a deeper one ends with an error.
 MAX_DEPTH = 10_000
 
-# The children of objects and arrays that are objects or arrays themselves, level by level, in
-# one recursive plan.  LIMIT ALL lifts Spark's limit on the rows of a recursion.
-WALK = f"""
-WITH RECURSIVE walk(product_key, node) MAX RECURSION LEVEL {MAX_DEPTH} AS (
-  SELECT product_key, node FROM {{roots}}
-  UNION ALL
-  SELECT product_key, child FROM (
-    SELECT product_key, explode(coalesce(map_values(try_variant_get(node, '$', 'map<string,variant>')),
-                                         try_variant_get(node, '$', 'array<variant>'))) AS child
-    FROM walk)
-  WHERE try_variant_get(child, '$', 'map<string,variant>') IS NOT NULL
-     OR try_variant_get(child, '$', 'array<variant>') IS NOT NULL)
-SELECT product_key, node FROM walk LIMIT ALL"""
+
+def _children(node: Column) -> Column:
+    """The values of an object or array VARIANT; null for any other."""
+    return F.coalesce(F.map_values(F.try_variant_get(node, "$", "map<string,variant>")),
+                      F.try_variant_get(node, "$", "array<variant>"))
+
+
+def _review_fields(node: Column) -> Column:
+    def g(path: str, typ: str = "string") -> Column:
+        return F.try_variant_get(node, path, typ)
+    return F.struct(*(g(f"$.{c}").alias(c) for c in ("id", "contents", "reviewerName", "date", "title")),
+                    g("$.rating", "int").alias("rating"))
 
 
 def _walk_reviews(roots: DataFrame) -> DataFrame:
-    """All nested objects with ``$kind = 'Review'`` under each root VARIANT (product_key, node), at
-    any depth, by recursive SQL."""
-    nodes = roots.sparkSession.sql(WALK, roots=roots.select("product_key", "node"))
-    return nodes.filter(F.try_variant_get(F.col("node"), '$["$kind"]', "string") == REVIEW_KIND)
+    """Fields of all nested objects with ``$kind = 'Review'`` under each root VARIANT (product_key,
+    node, levels), at any depth.
+
+    A page is walked level by level inside its row, so nothing is shuffled and a task reads no more
+    than its pages.  ``levels`` is at least the page's nesting; levels that don't exist are empty.
+    """
+    def is_review(node: Column) -> Column:
+        return F.try_variant_get(node, '$["$kind"]', "string") == REVIEW_KIND
+
+    def step(state: Column, _: Column) -> Column:
+        level = state["level"]
+        following = F.struct(
+            F.flatten(F.filter(F.transform(level, _children), F.isnotnull)).alias("level"),
+            F.concat(state["hits"], F.transform(F.filter(level, is_review), _review_fields)).alias("hits"))
+        return F.when(F.size(level) > 0, following).otherwise(state)
+    start = F.struct(F.array("node").alias("level"),
+                     F.filter(F.array(_review_fields(F.col("node"))), lambda _: F.lit(False)).alias("hits"))
+    walked = roots.select("product_key", F.aggregate(
+        F.sequence(F.lit(1), F.least("levels", F.lit(MAX_DEPTH))), start, step).alias("w"), "levels")
+    deeper = (F.col("levels") > MAX_DEPTH) & F.exists("w.level", lambda n: _children(n).isNotNull())
+    hits = F.when(deeper, F.raise_error(F.lit(f"a page nests deeper than {MAX_DEPTH} levels"))).otherwise(F.col("w.hits"))
+    return walked.select("product_key", F.explode(hits).alias("hit")).select("product_key", "hit.*")
 
 
 def page_reviews(pages: DataFrame, since: str | None, ingested_at: str) -> DataFrame:
@@ -102,23 +119,19 @@ def page_reviews(pages: DataFrame, since: str | None, ingested_at: str) -> DataF
                .select("product_key", F.explode(F.regexp_extract_all("html", F.lit(SCRIPT_RE), 1))
                        .alias("script"))
                .filter(F.col("script").contains("reviewerName")))
-    roots = (scripts.select("product_key", F.try_parse_json(F.regexp_extract("script", OBJECT_RE, 0))
-                            .alias("node"))
+    objects = scripts.select("product_key", F.regexp_extract("script", OBJECT_RE, 0).alias("object"))
+    roots = (objects.select("product_key", F.try_parse_json("object").alias("node"),
+                            # Every level opens a bracket.
+                            (F.length("object") - F.length(F.translate("object", "{[", ""))).alias("levels"))
              .filter(F.col("node").isNotNull()))
     hits = _walk_reviews(roots)
-
-    def g(path: str, typ: str = "string") -> Column:
-        return F.try_variant_get(F.col("node"), path, typ)
-    body = F.coalesce(g("$.contents"), F.lit(""))
-    author = g("$.reviewerName")
-    date_text = g("$.date")
-    rating = g("$.rating", "int")
+    body = F.coalesce(F.col("contents"), F.lit(""))
     rows = hits.select(
         "product_key",
-        fallback_external_id(g("$.id"), author, date_text, body).alias("external_id"),
-        body.alias("body"), F.coalesce(g("$.title"), F.lit("")).alias("title"),
-        F.coalesce(date_text, F.lit("")).alias("date_text"),
-        F.coalesce(rating, F.lit(0)).alias("rating"),
+        fallback_external_id(F.col("id"), F.col("reviewerName"), F.col("date"), body).alias("external_id"),
+        body.alias("body"), F.coalesce(F.col("title"), F.lit("")).alias("title"),
+        F.coalesce(F.col("date"), F.lit("")).alias("date_text"),
+        F.coalesce(F.col("rating"), F.lit(0)).alias("rating"),
         F.lit(None).cast("string").alias("version"))
     return _finish(rows, "appstore", since, ingested_at)
 

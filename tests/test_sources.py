@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from revwise.sources import feeds as FD
@@ -63,6 +64,27 @@ def test_page_walk_reaches_any_depth(spark):
     assert [(r.external_id, r.rating) for r in got] == [("deep", 0)]
 
 
+def test_page_walk_moves_no_rows_between_tasks(spark):
+    replies = [{"$kind": "Review", "id": f"r{k}", "contents": f"{BODY} {k} {{[", "reviewerName": "n", "date": "2024-05-01",
+                "replies": [{"$kind": "Review", "id": f"s{k}", "contents": BODY}, [[None, k, "x"]], {}]} for k in range(300)]
+    pages = spark.createDataFrame([(f"p{i}", _html({"data": [replies]})) for i in range(4)], "product_key string, html string")
+    out = FD.page_reviews(pages, None, NOW)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "UnionLoop" not in plan
+    assert sorted((r.product_key, r.external_id) for r in out.collect()) == sorted(
+        (f"p{i}", f"{c}{k}") for i in range(4) for c in "rs" for k in range(300))
+
+
+def test_page_walk_refuses_what_it_would_not_reach(spark, monkeypatch):
+    monkeypatch.setattr(FD, "MAX_DEPTH", 3)
+    node = {"$kind": "Review", "id": "a", "contents": f"{BODY} {{{{{{", "reviewerName": "n", "date": "2024-05-01"}
+    flat = spark.createDataFrame([("p", _html({"x": [node]}))], "product_key string, html string")
+    assert [r.external_id for r in FD.page_reviews(flat, None, NOW).collect()] == ["a"]
+    deeper = spark.createDataFrame([("p", _html({"x": [[node]]}))], "product_key string, html string")
+    with pytest.raises(Exception, match="nests deeper than 3 levels"):
+        FD.page_reviews(deeper, None, NOW).collect()
+
+
 def test_feed_stream(spark, tmpdir_path):
     from revwise.streaming.ingest import ingest_feed_stream
     landing = os.path.join(tmpdir_path, "feed", "product_key=p")
