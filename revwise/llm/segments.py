@@ -27,6 +27,12 @@ class Cut:
     starts: np.ndarray
 
 
+def open_ended(word: str) -> bool:
+    """Whether a blank behind the word would not be cut off: it is empty or ends in white space."""
+    last = word[-1:]
+    return not last or last.isspace() or last in _MORE
+
+
 def cut(texts: pa.Array, blank_first: bool = False) -> Cut:
     """Segments of each text (null: an empty text), with a blank in front of it if ``blank_first``.
 
@@ -39,7 +45,7 @@ def cut(texts: pa.Array, blank_first: bool = False) -> Cut:
     number = coded.indices.to_numpy().astype(np.int64)
     # A word that is empty or ends in white space keeps the next word in its segment.
     last = pc.utf8_slice_codeunits(coded.dictionary, start=-1, stop=None).dictionary_encode()
-    blank = np.asarray([not c or c.isspace() or c in _MORE for c in last.dictionary.to_pylist()], dtype=bool)
+    blank = np.asarray([open_ended(c) for c in last.dictionary.to_pylist()], dtype=bool)
     open_end = blank[last.indices.to_numpy()]
     front = np.zeros(len(number), dtype=bool)
     front[starts[:-1]] = True

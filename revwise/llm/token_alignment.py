@@ -11,6 +11,7 @@ where both have an end cut the tokens into groups; all pairs of one group are li
 Neither tokenizer joins a character with a blank behind it, so a text's tokens, ends and
 groups are those of its segments (``segments.cut``).  A task aligns each segment once and
 remembers it; should a model hold such a piece, whole texts take the segments' place.
+New segments are encoded many behind each other: as one text they give the same tokens.
 
 Corpus counts: each document's different id pairs are exploded and counted by Spark.
 Counts of two and more come back as sorted arrays, broadcast below ``PAIRS_IN_MEMORY``
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revwise.llm.common import list_array, slices, stage_table
-from revwise.llm.segments import Cut, byte_level_bytes, cut, spread
+from revwise.llm.segments import Cut, byte_level_bytes, cut, open_ended, spread
 
 #: Segments whose alignment a task remembers (about 300 bytes each).
 CACHED = 200_000
@@ -42,6 +43,8 @@ SLICE = 4 << 20
 PAIRS_IN_MEMORY = 2_000_000
 #: Segments that both tokenizers encode at a time.
 LEARNED = 1 << 13
+#: Segments that are encoded as one text.
+JOINED = 128
 #: Pairs of one group that are listed; larger groups are counted by their different ids.
 LISTED = 4096
 
@@ -120,6 +123,19 @@ class Aligner:
         number = {t: k for k, t in enumerate(names)}
         return Cut(names, np.asarray([number[t] for t in whole], dtype=np.int64), np.arange(len(whole) + 1))
 
+    def runs(self, names: list[str]) -> np.ndarray:
+        """Where each run of names begins that are encoded as one text, and the number of names.
+
+        Names that may be a text's last (white space at their end) and whole texts stand alone.
+        """
+        alone = np.ones(len(names), dtype=bool)
+        if self.cuttable:
+            alone = np.fromiter((open_ended(s) for s in names), dtype=bool, count=len(names))
+        begins = alone.copy()
+        begins[1:] |= alone[:-1]
+        begins[::JOINED] = True
+        return np.append(np.flatnonzero(begins), len(names))
+
     def ends(self, names: list[str]) -> tuple:
         """Ids, tokens of each name, and byte ends (from the first name's start) under both; names' byte
         ends; whether the decoded tokens of both give the name."""
@@ -131,17 +147,23 @@ class Aligner:
         first_byte, last_byte = byte_at[char_first], byte_at[char_first + chars]
         good = np.ones(len(names), dtype=bool)
         out = []
-        a = self.first.encode_batch(names, add_special_tokens=False)
-        b = self.second.encode([s[1:] for s in names], return_type="offset_mapping", num_threads=1)
+        runs = self.runs(names)
+        texts = ["".join(names[i:j]) for i, j in zip(runs[:-1], runs[1:], strict=True)]
+        run_first = char_first[runs[:-1]]
+        a = self.first.encode_batch(texts, add_special_tokens=False)
+        b = self.second.encode([s[1:] for s in texts], return_type="offset_mapping", num_threads=1)
         for ids_of, spans_of, blank, size, decoded in (
                 ([e.ids for e in a], [e.offsets for e in a], 0, self.first_length, self.first_bytes),
                 ([e["ids"] for e in b], [e["offsets"] for e in b], 1, self.second_length, self.second_bytes)):
-            count = np.fromiter(map(len, ids_of), dtype=np.int64, count=len(names))
-            ids = np.fromiter(chain.from_iterable(ids_of), dtype=np.int64, count=count.sum())
+            in_run = np.fromiter(map(len, ids_of), dtype=np.int64, count=len(texts))
+            ids = np.fromiter(chain.from_iterable(ids_of), dtype=np.int64, count=in_run.sum())
             spans = np.fromiter(chain.from_iterable(chain.from_iterable(spans_of)), dtype=np.int64,
-                                count=2 * count.sum()).reshape(-1, 2)
-            of = np.repeat(np.arange(len(names)), count)
-            coarse = byte_at[char_first[of] + spans[:, 1] + blank]
+                                count=2 * in_run.sum()).reshape(-1, 2)
+            spans += np.repeat(run_first + blank, in_run)[:, None]
+            # A name's first token takes its blank, so that all its tokens end behind its start.
+            of = np.searchsorted(char_first + chars, spans[:, 1])
+            count = np.bincount(of, minlength=len(names))
+            coarse = byte_at[spans[:, 1]]
             lengths = size[ids]
             total = np.bincount(of, lengths, len(names)).astype(np.int64)
             ended = np.cumsum(lengths)

@@ -178,3 +178,28 @@ def test_refined_ends_are_bytes(text):
     assert good.all()
     for ids, ends, size in ((ids_a, end_a, aligner.first_length), (ids_b, end_b, aligner.second_length)):
         assert (size[ids].cumsum() == ends).all() and ends[-1] == last[-1]
+
+
+def test_segments_are_encoded_many_at_once(monkeypatch):
+    import pyarrow as pa
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(PARTS, k=rng.randint(1, 25))) for _ in range(300)]
+    texts += [" ".join(f"w{k}é" for k in range(i, i + 40)) for i in range(0, 1000, 40)] + ["", " ", "  ", "end ", " ﷽ ▁", "a​ b"]
+    found = []
+    for joined in (1, 7, K.JOINED):
+        monkeypatch.setattr(K, "JOINED", joined)
+        aligner = K.Aligner(FIRST, SECOND)
+        names = aligner.cut(pa.array(texts)).names
+        found.append([x.tolist() for x in aligner.ends(names)])
+    assert found[0] == found[1] == found[2]
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, 0
+
+        def encode_batch(self, batch, **more):
+            self.texts += len(batch)
+            return self.inner.encode_batch(batch, **more)
+    aligner.first = Counted(aligner.first)
+    cut, _ = aligner.segments(pa.array(texts[300:325]))
+    assert len(cut.names) == 1000 and aligner.first.texts <= 10
